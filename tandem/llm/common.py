@@ -71,3 +71,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    An expression used inside a lambda would otherwise be computed again for
+    each element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_results(source: DataFrame, results: dict[str, Column], row: str = "row") -> DataFrame:
+    """The columns of the struct ``row``, and the results; a result takes the place of a column of its name."""
+    names = source.schema[row].dataType.names
+    taken = {n.lower() for n in results}
+    return source.select(*(F.col(row)[n].alias(n) for n in names if n.lower() not in taken), *(c.alias(n) for n, c in results.items()))
