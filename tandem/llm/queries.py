@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, lines, quality_rules, token_counts
+from tandem.llm import bpe, classifier, lines, quality_rules, token_counts
 from tandem.llm.common import load
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+QUALITY_BAR = 0.3
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +43,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text by the model that its labels teach."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.train(docs, load(spark, sf_dir, "labels"))
+    scored = classifier.classify(docs, model)
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_BAR).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
