@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, classifier, decontam, lines, quality_rules, token_counts
+from tandem.llm import bpe, classifier, decontam, lines, quality_rules, substring, token_counts
 from tandem.llm.common import load
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words before and removed, and a digest of the words that stay."""
+    kept = substring.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and a digest of the text that stays."""
     kept = lines.line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,6 +64,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
@@ -67,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": quality_rules.RULES_SQL,
+    "op3_substring_dedup": substring.REPEATS_SQL,
     "op6_line_dedup": lines.LINES_SQL,
 }
