@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, classifier, decontam, lines, quality_rules, substring, token_counts
+from tandem.llm import bpe, classifier, decontam, lines, minhash, quality_rules, substring, token_counts
 from tandem.llm.common import load
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,11 @@ TOKEN_LIMIT = 4096
 QUALITY_BAR = 0.3
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 85 % or more of the 3-word shingles."""
+    return minhash.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, percent=85)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every text and the cascade's verdict."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +68,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_dedup": minhash.NEAR_SQL,
     "op2_quality_rules": quality_rules.RULES_SQL,
     "op3_substring_dedup": substring.REPEATS_SQL,
     "op6_line_dedup": lines.LINES_SQL,
