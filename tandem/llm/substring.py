@@ -12,7 +12,7 @@ same offset, if anchor and period together fit the window.  (Window 20, period
 
 1. Count the anchors by hash; those that occur twice or more are written out.
 2. Find where they occur: the places around which a long match can lie.
-3. Extend: hash (128 bits) every window that holds such a place, and take the
+3. Extend: hash (96 bits) every window that holds such a place, and take the
    first occurrence of each.
 4. In each document, windows at such places that are not first occurrences go.
 
@@ -60,8 +60,8 @@ def plan_anchors(window: int) -> tuple[int, tuple[int, ...], int]:
     return period, difference_cover(period), window - period + 1
 
 
-def anchors(words: Column, period: int, cover: tuple[int, ...], size: int) -> Column:
-    """Array of (start, hash) of the anchors of a text."""
+def anchors(words: Column, period: int, cover: tuple[int, ...], size: int, places: bool) -> Column:
+    """Hashes of the anchors of a text; with ``places`` structs of start and hash."""
     per = len(cover)
     last = F.size(words) - size
     count = per * (last / period).cast("int") + sum((last % period >= c).cast("int") for c in cover)
@@ -69,9 +69,10 @@ def anchors(words: Column, period: int, cover: tuple[int, ...], size: int) -> Co
 
     def at(j: Column) -> Column:
         start = (j / per).cast("int") * period + F.get(offsets, j % per)
-        return let(start, lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice(words, p + 1, size)).alias("h")))
+        h = F.xxhash64(F.slice(words, start + 1, size))
+        return F.struct(start.alias("p"), h.alias("h")) if places else h
 
-    none = F.array().cast("array<struct<p:int,h:bigint>>")
+    none = F.array().cast("array<struct<p:int,h:bigint>>" if places else "array<bigint>")
     return F.when(last < 0, none).otherwise(F.transform(F.sequence(F.lit(0), count - 1), at))
 
 
@@ -99,29 +100,54 @@ def covered(starts: Column, window: int) -> Column:
     return let(starts, of)
 
 
+def window_hashes(words: Column, starts: Column, window: int) -> Column:
+    """Structs (h1, h2, i) of the windows at ``starts``, the first of equal ones only."""
+
+    def hashed(i: Column) -> Column:
+        return let(F.slice(words, i + 1, window), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), i.alias("i")))
+
+    def first(ws: Column) -> Column:
+        def of_sorted(s: Column) -> Column:
+            return F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["h1"] != x["h1"]) | (F.get(s, j - 1)["h2"] != x["h2"]))
+
+        distinct = F.size(F.array_distinct(F.transform(ws, lambda x: x["h1"]))) == F.size(ws)
+        return F.when(distinct, ws).otherwise(let(F.array_sort(ws), of_sorted))
+
+    return let(F.transform(starts, hashed), first)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every row with its kept words joined by a space, ``n_words`` before and ``n_removed``."""
     period, cover, size = plan_anchors(window)
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), text_of(text).alias("t"))
-    keyed = rows.select("k", F.hash("t").alias("th"), "t")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), text_of(text).alias("t"), F.hash(F.col(text)).alias("th"))
+    by_id = rows.groupBy("k").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b OR k IS NULL").isEmpty()
+    own = ["k"] if by_id else ["k", "th"]
+
+    def same(left: str, right: str) -> Column:
+        return F.expr(" AND ".join(f"{left}{c} <=> {right}{c}" for c in own))
 
-    found = F.explode(let(words_of(F.col("t")), lambda w: anchors(w, period, cover, size))).alias("a")
-    repeated = materialize(keyed.select(found).groupBy(F.col("a.h").alias("h")).count().where("count > 1").select("h"))
+    def named(prefix: str) -> list[Column]:
+        return [F.col(c).alias(prefix + c) for c in own]
 
-    placed = keyed.select("k", "th", found).select("k", "th", F.col("a.p").alias("p"), F.col("a.h").alias("h")).join(repeated, "h")
-    places = materialize(placed.groupBy(F.col("k").alias("pk"), F.col("th").alias("pth")).agg(F.collect_list("p").alias("places")))
+    def found(places: bool) -> Column:
+        return F.explode(let(words_of(F.col("t")), lambda w: anchors(w, period, cover, size, places)))
 
-    near = keyed.join(places, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")))
+    repeated = materialize(rows.select(found(False).alias("h")).groupBy("h").count().where("count > 1").select("h"))
 
-    def windows(w: Column) -> Column:
-        return F.transform(starts_near(F.col("places"), F.size(w), window, size), lambda i: let(F.slice(w, i + 1, window), lambda x: F.struct(i.alias("i"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit("second"), x).alias("h2"))))
+    placed = rows.select(*own, found(True).alias("a")).select(*own, "a.p", "a.h").join(repeated, "h")
+    places = materialize(placed.groupBy(*named("p")).agg(F.collect_list("p").alias("places")))
 
-    seen = near.select("k", "th", F.explode(let(words_of(F.col("t")), windows)).alias("w"))
-    first = seen.groupBy(F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2")).agg(F.min(F.struct("k", "th", "w.i")).alias("f"))
-    firsts = materialize(first.groupBy(F.col("f.k").alias("fk"), F.col("f.th").alias("fth")).agg(F.collect_list("f.i").alias("firsts")))
+    near = rows.select(*own, "t").join(places, same("", "p"))
+    windows = let(words_of(F.col("t")), lambda w: let(starts_near(F.col("places"), F.size(w), window, size), lambda starts: window_hashes(w, starts, window)))
+    seen = near.select(*own, F.explode(windows).alias("w")).select(*own, "w.*").groupBy("h1", "h2")
+    if by_id:
+        first = seen.agg(F.min_by("i", "k").alias("i"), F.min("k").alias("k"))
+    else:
+        first = seen.agg(F.min(F.struct("k", "th", "i")).alias("f")).select("f.*")
+    firsts = materialize(first.groupBy(*named("f")).agg(F.collect_list("i").alias("firsts")))
 
-    marks = places.join(firsts, F.col("pk").eqNullSafe(F.col("fk")) & (F.col("pth") == F.col("fth")), "left").select("pk", "pth", "places", "firsts")
-    joined = rows.withColumn("th", F.hash("t")).join(marks, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")), "left")
+    marks = places.join(firsts, same("p", "f"), "left").drop(*("f" + c for c in own))
+    joined = rows.join(marks, same("", "p"), "left")
 
     def judged(w: Column) -> Column:
         n = F.size(w)

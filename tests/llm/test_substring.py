@@ -37,8 +37,8 @@ def test_plan():
         assert size >= 1 and period - 1 + size == window
 
 
-@pytest.mark.parametrize("window", [20, 9])
-def test_against_loops(spark, window):
+@pytest.mark.parametrize(("window", "odd"), [(20, True), (20, False), (9, True)])
+def test_against_loops(spark, window, odd):
     rng = random.Random(window)
     passage = [f"p{i}" for i in range(window + 7)]
     docs = []
@@ -50,7 +50,9 @@ def test_against_loops(spark, window):
         if d % 4 == 0:
             body += ["\n"] + passage[: rng.randrange(len(passage))] + ["é漢\U0001f600"]
         docs.append((d, " ".join(body)))
-    docs += [(100, docs[7][1]), (101, docs[7][1]), (101, docs[7][1]), (102, None), (103, ""), (104, "  \n"), (105, "same " * 3000), (None, docs[9][1] + " " + docs[12][1])]
+    docs += [(100, docs[7][1]), (101, docs[7][1]), (101, docs[7][1]), (102, None), (103, ""), (104, "  \n"), (105, "same " * 3000)]
+    if odd:  # ids that are null or stand for several texts
+        docs += [(None, docs[9][1] + " " + docs[12][1])]
     frame = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, n_words int, places string")
     made = substring.remove_repeats(frame, window=window)
     assert made.columns == ["doc_id", "places", "text", "n_words", "n_removed"]
