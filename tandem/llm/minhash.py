@@ -16,11 +16,13 @@
    six deviations below the threshold goes.  The others are verified on the
    full shingle sets.
 5. Verified links make components.  A bucket whose members are all in one
-   component is done.  In the others links between members can be missing: in
-   those of up to ``SMALL`` members all pairs across components are estimated
-   and the likely ones verified; larger ones are split by each later band (two
-   similar documents share many bands, not one) and go through 4 and 5 again.
-   As bands are only combined in their order, this ends with the last one.
+   component is done.  In the others links between members can be missing: the
+   members outside the bucket's largest component are compared with all others,
+   by their registers and in blocks of bounded size, and the likely pairs are
+   verified.  Buckets beyond ``LARGE`` members are split by each later band
+   instead (two similar documents share many bands, not one) and go through 4
+   and 5 again.  As bands are only combined in their order, this ends with the
+   last one.
 
 No bucket is capped and no pair is skipped that could be a link.  Hot buckets
 cost one pair for each member; every count and minimum is combined before it is
@@ -37,12 +39,13 @@ are judged each by their own text.  Extra columns pass through
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +58,11 @@ MANTISSA = 10
 #: Pairs at the threshold that banding may lose.
 LOSS = 1e-6
 
-#: Members of a bucket whose pairs are all compared in one place.
-SMALL = 128
+#: Members of a bucket whose estimates are compared without splitting it first.
+LARGE = 20_000
+
+#: Rows that one comparison takes: members outside the main component, and members.
+BLOCK = (256, 2048)
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -163,7 +169,7 @@ def band_shape(percent: int, k: int = REGISTERS) -> tuple[int, int]:
     return k // rows, rows
 
 
-def _matrix(column: pd.Series, k: int = REGISTERS) -> np.ndarray:
+def _matrix(column: Iterable[bytes], k: int = REGISTERS) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<u2").reshape(-1, k)
 
 
@@ -257,34 +263,53 @@ class _Links:
         return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def mixed(self, members: DataFrame) -> DataFrame:
-        """(bucket, c): buckets of three or more with members of several components.
+        """(bucket, c, main, r): buckets of three or more members, r of them outside the largest component.
 
         In a bucket of two the only pair has been tested.
         """
-        seen = self.labelled(members).groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("x"), F.max("label").alias("y"))
-        return materialize(seen.where("c > 2 and x <> y").select("bucket", "c"))
+        seen = self.labelled(members).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        largest = F.max_by("label", F.struct("n", "label")).alias("main")
+        summed = seen.groupBy("bucket").agg(F.sum("n").alias("c"), largest, F.max("n").alias("most"))
+        return materialize(summed.where("c > 2 and most < c").select("bucket", "c", "main", (F.col("c") - F.col("most")).alias("r")))
+
+    def across(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """(a, b) across components within the buckets: pairs that have a chance.
 
-    def across(self, members: DataFrame) -> DataFrame:
-        """(a, b) across components within buckets of up to ``SMALL``: pairs with a chance."""
+        Blocks of members outside the main component meet blocks of all members.
+        """
         kind = self.nodes.schema["node"].dataType.simpleString()
         percent = self.percent
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for group in batch["group"]:
-                    node = np.array([g["node"] for g in group])
-                    label = np.array([g["label"] for g in group])
-                    n = np.array([g["n"] for g in group], np.int64)
-                    regs = _matrix(pd.Series([g["regs"] for g in group]))
-                    i, j = np.triu_indices(len(node), 1)
-                    other = label[i] != label[j]
-                    i, j = i[other], j[other]
-                    ok = plausible(estimated_jaccard(regs[i], regs[j], n[i], n[j]), n[i], n[j], percent)
-                    yield pd.DataFrame({"a": np.maximum(node[i], node[j])[ok], "b": np.minimum(node[i], node[j])[ok]})
-
-        rows = self.labelled(members).join(self.nodes, "node")
-        groups = rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "label", "n", "regs")).alias("group")).select("group")
-        return groups.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+                groups = batch.column(0)
+                rows, ends = groups.flatten(), np.asarray(groups.offsets) - groups.offsets[0].as_py()
+                node, label, n, outer = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "outer"))
+                regs = _matrix(rows.field("regs").to_pylist())
+                found_a, found_b = [], []
+                for low, high in zip(ends[:-1], ends[1:], strict=True):
+                    own = np.arange(low, high)
+                    inner = own[~outer[own]]
+                    for u in own[outer[own]]:
+                        m = inner[label[inner] != label[u]]
+                        share = (regs[m] == regs[u]).mean(1)  # never below the estimate
+                        m = m[plausible(share, n[m], n[u], percent)]
+                        if len(m):
+                            size = np.full(len(m), n[u])
+                            m = m[plausible(estimated_jaccard(regs[m], regs[u][None], n[m], size), n[m], size, percent)]
+                            found_a.append(np.maximum(node[m], node[u]))
+                            found_b.append(np.minimum(node[m], node[u]))
+                if found_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+
+        block = lambda column, count, size: F.pmod(F.xxhash64(column, F.lit(size)), F.ceil(count / size)).cast("int")
+        every = lambda count, size: F.explode(F.sequence(F.lit(0), (F.ceil(count / size) - 1).cast("int")))
+        rows = self.labelled(members).join(buckets, "bucket").join(self.nodes, "node")
+        row = F.struct("node", "label", "n", "regs", "outer")
+        outer = rows.where(F.col("label") != F.col("main")).select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "n", "regs", F.lit(True).alias("outer"))
+        inner = rows.select("bucket", every(F.col("r"), BLOCK[0]).alias("i"), block("node", F.col("c"), BLOCK[1]).alias("j"), "node", "label", "n", "regs", F.lit(False).alias("outer"))
+        groups = outer.union(inner).groupBy("bucket", "i", "j").agg(F.collect_list(row).alias("group")).select("group")
+        return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -303,10 +328,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     while True:
         links.test(links.stars(members))
         mixed = links.mixed(members)
-        small = mixed.where(F.col("c") <= SMALL).select("bucket")
+        small = mixed.where(F.col("c") <= LARGE)
         if not small.isEmpty():
-            links.test(links.across(members.join(small, "bucket")))
-        large = mixed.where(F.col("c") > SMALL).select("bucket")
+            links.test(links.across(members, small))
+        large = mixed.where(F.col("c") > LARGE).select("bucket")
         if large.isEmpty():
             break
         later = banded.select("node", F.col("band").alias("next"), F.col("bucket").alias("key"))

@@ -58,9 +58,10 @@ def corpus(seed, n=160, words=90):
 ODD = [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "one"), (1004, "ONE"), (1005, "one two"), (1006, "one  two"), (1007, "One Two three"), (None, "one two"), (1008, "z" * 70_000), (1009, "Z" * 70_000), (1010, "é É"), (1010, "é É"), (1011, "a b c " * 400), (1012, "a b c " * 300)]
 
 
-@pytest.mark.parametrize(("size", "percent", "small"), [(3, 85, 128), (5, 80, 128), (3, 85, 8)])
-def test_against_all_pairs(spark, monkeypatch, size, percent, small):
-    monkeypatch.setattr(minhash, "SMALL", small)
+@pytest.mark.parametrize(("size", "percent", "large", "block"), [(3, 85, 20_000, (256, 2048)), (5, 80, 20_000, (3, 4)), (3, 85, 8, (2, 2))])
+def test_against_all_pairs(spark, monkeypatch, size, percent, large, block):
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     docs = corpus(size * percent) + ODD
     frame = spark.createDataFrame([(d, t, 1, True, "n") for d, t in docs], "doc_id long, text string, node int, kept boolean, n string")
     got = minhash.near_duplicates(frame, shingle_words=size, percent=percent).collect()
@@ -74,7 +75,7 @@ def test_empty_table(spark):
 
 def test_split_buckets_lose_nothing(spark, monkeypatch):
     """One bucket for all, members of several components: found by splitting."""
-    monkeypatch.setattr(minhash, "SMALL", 12)
+    monkeypatch.setattr(minhash, "LARGE", 12)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(300)]
     docs = []
