@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, classifier, decontam, lines, minhash, quality_rules, substring, token_counts
+from tandem.llm import bpe, classifier, decontam, lines, minhash, pii, quality_rules, substring, token_counts
 from tandem.llm.common import load
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data, and of the terms that reveal it."""
+    found = pii.find_spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.kind_count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and dropped, and a digest of the text that stays."""
     kept = lines.line_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
