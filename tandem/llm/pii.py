@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import let, lower_ascii, materialize, text_of, with_results
+from tandem.llm.common import find_all, let, lower_ascii, materialize, text_of, with_results
 
 CONTEXT = 120
 SUPPORT = 3
@@ -58,22 +58,6 @@ _HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _TERM = r"[\p{L}\p{N}]+"
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the leftmost matches that do not overlap."""
-
-    def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["g"], i))
-            value = F.get(x["m"], i)
-            end = start + F.length(value)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-        return F.when(F.size(x["m"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), zero, step, lambda a: a["out"]))
-
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), placed)
-
-
 def luhn(digits: Column) -> Column:
     """Every second digit from the right counts double, less 9 if above it; the sum ends in 0."""
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bpe, classifier, decontam, lines, minhash, pii, quality_rules, substring, token_counts
+from tandem.llm import bpe, classifier, decontam, lines, minhash, pii, quality_rules, secret_scan, substring, token_counts
 from tandem.llm.common import load
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the secrets in every text, with the forest's score; values as digests."""
+    found = secret_scan.scan(load(spark, sf_dir, "documents"), path="source")
+    return found.select("doc_id", "start", "end", F.sha2(F.col("value").cast("binary"), 256).alias("secret_sha256"), "score")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of personal data, and of the terms that reveal it."""
     found = pii.find_spans(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_secret_scan": op4_secret_scan,
     "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
