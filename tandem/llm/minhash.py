@@ -18,8 +18,10 @@
 5. Verified links make components.  A bucket whose members are all in one
    component is done.  In the others links between members can be missing: the
    members outside the bucket's largest component are compared with all others,
-   by their registers and in blocks of bounded size, and the likely pairs are
-   verified.  Buckets beyond ``LARGE`` members are split by each later band
+   in blocks of bounded size, by an upper bound of their similarity from 16 bits
+   of each shingle.  Pairs whose bound reaches the threshold are verified; of a
+   document and a component that it is all but sure to be linked with, the three
+   most similar members.  Buckets beyond ``LARGE`` members are split by each later band
    instead (two similar documents share many bands, not one) and go through 4
    and 5 again.  As bands are only combined in their order, this ends with the
    last one.
@@ -48,6 +50,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tandem.llm.common import materialize, text_of
 from tandem.llm.graph import components
@@ -61,6 +64,12 @@ LOSS = 1e-6
 #: Members of a bucket whose estimates are compared without splitting it first.
 LARGE = 20_000
 
+#: A similarity bound this far above the threshold is a link but for freak collisions ...
+MARGIN = 0.03
+
+#: ... in sets of up to so many shingles; larger ones have all their pairs verified.
+SURE = 2048
+
 #: Rows that one comparison takes: members outside the main component, and members.
 BLOCK = (256, 2048)
 
@@ -138,6 +147,23 @@ def registers(shingles: np.ndarray, k: int = REGISTERS) -> np.ndarray:
     return ((zeros.astype(np.uint16) << MANTISSA) | (after >> np.uint64(64 - MANTISSA)).astype(np.uint16)).astype("<u2")
 
 
+def prints(shingles: np.ndarray) -> np.ndarray:
+    """16 bits of each shingle, sorted as the set is."""
+    return (shingles >> np.uint64(48)).astype("<u2")
+
+
+def similarity_bounds(one: np.ndarray, many: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Upper bounds of the Jaccard similarity of one set and many, from their prints.
+
+    Shared shingles have equal prints, so the number of prints of the other set
+    that the first one holds is never below the number of shared shingles.
+    """
+    table = np.zeros(1 << 16, np.int32)
+    table[one] = 1
+    both = np.add.reduceat(table[many], starts)
+    return both / (len(one) + sizes - np.minimum(both, len(one)))
+
+
 @lru_cache(maxsize=10_000)
 def _chance(n4: int, m4: int, k: int) -> float:
     """Share of registers that unrelated sets of 2^(n4/4) and 2^(m4/4) shingles have in common."""
@@ -162,6 +188,19 @@ def plausible(estimate: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int,
     return (100 * small >= percent * large) & (estimate >= t - 6 * deviation)
 
 
+def chosen(bound: np.ndarray, label: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Which of the near members to verify: the three best of a component that is sure, all others."""
+    order = np.argsort(-bound, kind="stable")
+    sure = np.unique(label[bound >= percent / 100 + MARGIN]) if size <= SURE else label[:0]
+    rest = order[np.isin(label[order], sure)]
+    take = [order[~np.isin(label[order], sure)]]
+    for _ in range(3):
+        first = np.unique(label[rest], return_index=True)[1]
+        take.append(rest[first])
+        rest = np.delete(rest, first)
+    return np.concatenate(take)
+
+
 def band_shape(percent: int, k: int = REGISTERS) -> tuple[int, int]:
     """(bands, rows): the most rows that lose at most ``LOSS`` of the pairs at the threshold."""
     t = percent / 100
@@ -174,7 +213,7 @@ def _matrix(column: Iterable[bytes], k: int = REGISTERS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """(k, n, set_key, regs) of every row; no registers where only an equal set can be a link."""
+    """(k, n, set_key, regs, prints) of every row; no registers and prints where only an equal set can be a link."""
     kind = docs.schema[key].dataType.simpleString()
     least = ceil(percent / (100 - percent)) if percent < 100 else np.inf
 
@@ -184,16 +223,17 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
             batch["n"] = np.array([len(s) for s in sets], np.int64)
             batch["set_key"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             batch["regs"] = [registers(s).tobytes() if len(s) >= least else None for s in sets]
+            batch["prints"] = [prints(s).tobytes() if len(s) >= least else None for s in sets]
             yield batch
 
-    return docs.select(F.col(key).alias("k"), text_of(text).alias("t")).mapInPandas(run, f"k {kind}, n bigint, set_key binary, regs binary")
+    return docs.select(F.col(key).alias("k"), text_of(text).alias("t")).mapInPandas(run, f"k {kind}, n bigint, set_key binary, regs binary, prints binary")
 
 
 class _Links:
     """What one run knows: nodes, tested pairs, links, components."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int, percent: int) -> None:
-        self.docs, self.nodes, self.key, self.text, self.size, self.percent = docs, nodes, key, text, size, percent
+    def __init__(self, docs: DataFrame, nodes: DataFrame, fine: DataFrame, key: str, text: str, size: int, percent: int) -> None:
+        self.docs, self.nodes, self.fine, self.key, self.text, self.size, self.percent = docs, nodes, fine, key, text, size, percent
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
@@ -244,13 +284,13 @@ class _Links:
         joined = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
         return joined.select("a", "b", "s", "q").mapInPandas(compare, f"a {kind}, b {kind}").distinct()
 
-    def test(self, pairs: DataFrame) -> None:
-        """Estimate and verify new pairs, and bring the components up to date."""
+    def test(self, pairs: DataFrame, estimate: bool = True) -> None:
+        """Verify new pairs, by their estimate first, and bring the components up to date."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        likely = materialize(self.likely(pairs))
+        likely = materialize(self.likely(pairs)) if estimate else pairs
         if likely.isEmpty():
             new = likely
         else:
@@ -278,36 +318,40 @@ class _Links:
         Blocks of members outside the main component meet blocks of all members.
         """
         kind = self.nodes.schema["node"].dataType.simpleString()
+        types = [to_arrow_type(self.nodes.schema["node"].dataType)] * 2
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 groups = batch.column(0)
                 rows, ends = groups.flatten(), np.asarray(groups.offsets) - groups.offsets[0].as_py()
-                node, label, n, outer = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "n", "outer"))
-                regs = _matrix(rows.field("regs").to_pylist())
-                found_a, found_b = [], []
+                node, label, outer = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "outer"))
+                own_prints = [np.frombuffer(x, "<u2") for x in rows.field("prints").to_pylist()]
+                found = []
                 for low, high in zip(ends[:-1], ends[1:], strict=True):
                     own = np.arange(low, high)
                     inner = own[~outer[own]]
+                    if not len(inner):
+                        continue
+                    sizes = np.array([len(own_prints[i]) for i in inner])
+                    many, starts = np.concatenate([own_prints[i] for i in inner]), np.cumsum(sizes) - sizes
                     for u in own[outer[own]]:
-                        m = inner[label[inner] != label[u]]
-                        share = (regs[m] == regs[u]).mean(1)  # never below the estimate
-                        m = m[plausible(share, n[m], n[u], percent)]
-                        if len(m):
-                            size = np.full(len(m), n[u])
-                            m = m[plausible(estimated_jaccard(regs[m], regs[u][None], n[m], size), n[m], size, percent)]
-                            found_a.append(np.maximum(node[m], node[u]))
-                            found_b.append(np.minimum(node[m], node[u]))
-                if found_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                        bound = similarity_bounds(own_prints[u], many, starts, sizes)
+                        bound[(label[inner] == label[u])] = 0
+                        near = np.flatnonzero(100 * bound >= percent - 1e-9)
+                        if len(near):
+                            near = near[chosen(bound[near], label[inner[near]], len(own_prints[u]), percent)]
+                            found += [(max(node[u], m), min(node[u], m)) for m in node[inner[near]]]
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, types[0]), pa.array(b, types[1])], names=["a", "b"])
 
         block = lambda column, count, size: F.pmod(F.xxhash64(column, F.lit(size)), F.ceil(count / size)).cast("int")
         every = lambda count, size: F.explode(F.sequence(F.lit(0), (F.ceil(count / size) - 1).cast("int")))
-        rows = self.labelled(members).join(buckets, "bucket").join(self.nodes, "node")
-        row = F.struct("node", "label", "n", "regs", "outer")
-        outer = rows.where(F.col("label") != F.col("main")).select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "n", "regs", F.lit(True).alias("outer"))
-        inner = rows.select("bucket", every(F.col("r"), BLOCK[0]).alias("i"), block("node", F.col("c"), BLOCK[1]).alias("j"), "node", "label", "n", "regs", F.lit(False).alias("outer"))
+        rows = self.labelled(members).join(buckets, "bucket").join(self.fine, "node").where(F.col("prints").isNotNull())
+        row = F.struct("node", "label", "prints", "outer")
+        outer = rows.where(F.col("label") != F.col("main")).select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(True).alias("outer"))
+        inner = rows.select("bucket", every(F.col("r"), BLOCK[0]).alias("i"), block("node", F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(False).alias("outer"))
         groups = outer.union(inner).groupBy("bucket", "i", "j").agg(F.collect_list(row).alias("group")).select("group")
         return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -324,13 +368,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * step + 1, F.lit(step))))
     banded = nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
 
-    links, members = _Links(docs, nodes, key, text, shingle_words, percent), banded
+    links, members = _Links(docs, nodes, signed.select(F.col("k").alias("node"), "prints"), key, text, shingle_words, percent), banded
     while True:
         links.test(links.stars(members))
         mixed = links.mixed(members)
         small = mixed.where(F.col("c") <= LARGE)
         if not small.isEmpty():
-            links.test(links.across(members, small))
+            links.test(links.across(members, small), estimate=False)
         large = mixed.where(F.col("c") > LARGE).select("bucket")
         if large.isEmpty():
             break

@@ -113,6 +113,26 @@ def test_registers_hold_zeros_and_mantissa():
     assert set(minhash.registers(h).tolist()) == {zeros << 10 | mantissa}
 
 
+def test_bounds_are_never_below_the_similarity():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 9000, dtype=np.uint64) << np.uint64(1)
+    one = np.unique(rng.choice(pool, 4000))
+    others = [np.unique(rng.choice(pool, n)) for n in (6, 500, 4000, 9000)] + [one]
+    fine = [minhash.prints(x) for x in others]
+    sizes = np.array([len(x) for x in fine])
+    got = minhash.similarity_bounds(minhash.prints(one), np.concatenate(fine), np.cumsum(sizes) - sizes, sizes)
+    for x, bound in zip(others, got, strict=True):
+        true = len(np.intersect1d(one, x)) / len(np.union1d(one, x))
+        assert true - 1e-12 <= bound <= true + 0.1
+    assert got[-1] == 1
+
+
+def test_chosen_pairs():
+    bound, label = np.array([0.99, 0.86, 0.95, 0.9, 0.93, 0.85]), np.array([1, 1, 1, 1, 1, 2])
+    assert sorted(minhash.chosen(bound, label, 100, 85).tolist()) == [0, 2, 4, 5]
+    assert sorted(minhash.chosen(bound, label, 10_000, 85).tolist()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_band_shape_keeps_its_promise():
     for percent in (50, 80, 85, 95):
         bands, rows = minhash.band_shape(percent)
