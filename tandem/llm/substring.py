@@ -62,18 +62,14 @@ def plan_anchors(window: int) -> tuple[int, tuple[int, ...], int]:
 
 def anchors(words: Column, period: int, cover: tuple[int, ...], size: int, places: bool) -> Column:
     """Hashes of the anchors of a text; with ``places`` structs of start and hash."""
-    per = len(cover)
     last = F.size(words) - size
-    count = per * (last / period).cast("int") + sum((last % period >= c).cast("int") for c in cover)
-    offsets = F.array(*map(F.lit, cover))
 
-    def at(j: Column) -> Column:
-        start = (j / per).cast("int") * period + F.get(offsets, j % per)
-        h = F.xxhash64(F.slice(words, start + 1, size))
-        return F.struct(start.alias("p"), h.alias("h")) if places else h
+    def at(p: Column) -> Column:
+        h = F.xxhash64(F.slice(words, p + 1, size))
+        return F.struct(p.alias("p"), h.alias("h")) if places else h
 
     none = F.array().cast("array<struct<p:int,h:bigint>>" if places else "array<bigint>")
-    return F.when(last < 0, none).otherwise(F.transform(F.sequence(F.lit(0), count - 1), at))
+    return F.flatten(F.array(*(F.when(last < c, none).otherwise(F.transform(F.sequence(F.lit(c), last, F.lit(period)), at)) for c in cover)))
 
 
 def starts_near(places: Column, n_words: Column, window: int, size: int) -> Column:
@@ -104,7 +100,7 @@ def window_hashes(words: Column, starts: Column, window: int) -> Column:
     """Structs (h1, h2, i) of the windows at ``starts``, the first of equal ones only."""
 
     def hashed(i: Column) -> Column:
-        return let(F.slice(words, i + 1, window), lambda x: F.struct(F.xxhash64(x).alias("h1"), F.hash(x).alias("h2"), i.alias("i")))
+        return F.struct(F.xxhash64(F.slice(words, i + 1, window)).alias("h1"), F.hash(F.slice(words, i + 1, window)).alias("h2"), i.alias("i"))
 
     def first(ws: Column) -> Column:
         def of_sorted(s: Column) -> Column:
