@@ -46,7 +46,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tandem-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings while a table is written: shuffle files go with their query, and
+#: joins with a counted key table (``wanted``) filter the other side's scan by a
+#: Bloom filter of bounded size before it is shuffled.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+}
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -57,18 +64,26 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wanted(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of ``rows``, written out with their counts.
+
+    The test of the count lets Spark build a Bloom filter from the keys and
+    apply it to the scan that they are joined with.
+    """
+    return materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where(F.col(key).isNotNull())).where("times >= 1").select(key)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

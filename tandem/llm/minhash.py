@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tandem.llm.common import materialize, text_of
+from tandem.llm.common import materialize, text_of, wanted
 from tandem.llm.graph import components
 
 REGISTERS = 200
@@ -278,7 +278,7 @@ class _Links:
                     found.append(100 * both >= percent * (len(one) + len(two) - both))
                 yield x.loc[np.array(found, bool), ["a", "b"]]
 
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = wanted(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
         texts = self.docs.select(F.col(self.key).alias("node"), text_of(self.text).alias("t")).join(asked, "node", "left_semi")
         sets = materialize(texts.mapInPandas(build, f"node {kind}, s binary"))
         joined = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
@@ -348,7 +348,9 @@ class _Links:
 
         block = lambda column, count, size: F.pmod(F.xxhash64(column, F.lit(size)), F.ceil(count / size)).cast("int")
         every = lambda count, size: F.explode(F.sequence(F.lit(0), (F.ceil(count / size) - 1).cast("int")))
-        rows = self.labelled(members).join(buckets, "bucket").join(self.fine, "node").where(F.col("prints").isNotNull())
+        mine = materialize(self.labelled(members).join(buckets, "bucket"))
+        fine = materialize(self.fine.join(wanted(mine, "node"), "node", "left_semi"))
+        rows = mine.join(fine, "node").where(F.col("prints").isNotNull())
         row = F.struct("node", "label", "prints", "outer")
         outer = rows.where(F.col("label") != F.col("main")).select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(True).alias("outer"))
         inner = rows.select("bucket", every(F.col("r"), BLOCK[0]).alias("i"), block("node", F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(False).alias("outer"))
