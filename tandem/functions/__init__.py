@@ -1 +1 @@
-
+"""Column expressions: pattern matching with spans, languages, tokens."""
