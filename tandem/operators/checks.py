@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import lexicons as lx
 from tandem.functions import tokens as tk
-from tandem.functions.language import joiner, short_name
+from tandem.functions.language import joiner
 from tandem.functions.rx import empty, let
 
 FINDING = "array<struct<type:string,en_span:array<int>,zh_span:array<int>,explanation:string>>"
@@ -180,14 +180,10 @@ def pair_texts(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
         side = ids.join(own, ["run_id", "sid"]).groupBy("run_id", "pair_id").agg(F.array_sort(F.collect_list(F.struct("pos", "page", "text", "sep"))).alias("xs"))
         texts = F.filter(F.transform("xs", lambda x: x["text"]), lambda t: t != "")
         page = F.get(F.filter(F.transform("xs", lambda x: x["page"]), lambda p: p.isNotNull()), 0)
-        made = made.join(side.select("run_id", "pair_id", F.array_join(texts, F.get("xs", 0)["sep"]).alias(f"{slot}_text"), page.alias(f"{slot}_page")), ["run_id", "pair_id"], "left")
+        made = made.join(side.select("run_id", "pair_id", F.call_function("array_join", texts, F.get("xs", F.lit(0))["sep"]).alias(f"{slot}_text"), page.alias(f"{slot}_page")), ["run_id", "pair_id"], "left")
     return made.withColumns({f"{s}_text": F.coalesce(f"{s}_text", F.lit("")) for s in ("en", "zh")})
 
 
-def array_join_lit(xs: Column, sep: Column) -> Column:
-    return F.array_join(xs, sep)
-
-
 def run_checks(pairs: DataFrame, languages: tuple[Column | str, Column | str] = ("en", "zh"), names: tuple[Column, Column] | None = None) -> DataFrame:
     """Findings of pairs that have text on both sides (``pair_texts``)."""
     name_a, name_b = names or (None, None)
@@ -196,5 +192,3 @@ def run_checks(pairs: DataFrame, languages: tuple[Column | str, Column | str] =
     rows = found.select("*", F.posexplode("found").alias("ord", "f"))
     return rows.select("run_id", "pair_id", "section", "ord", F.col("f.type").alias("type"), F.lit("deterministic").alias("source"), side("en").alias("en"), side("zh").alias("zh"), F.col("f.explanation").alias("explanation"), F.lit(1.0).alias("confidence"))
 
-
-__all__ = ["bag_match", "check_pair", "currency_findings", "date_findings", "nearest_pairs", "number_findings", "pair_texts", "run_checks", "same", "short_name"]

@@ -1 +1 @@
-
+"""Composed queries."""

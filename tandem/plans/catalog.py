@@ -1,10 +1,432 @@
-"""Registered queries over the driver's tables, with the equivalent SQL."""
+"""Registered queries over the driver's tables, with the equivalent SQL.
+
+Typed columns are rendered as sentences in two languages, with deterministic
+plants; the operators read them back.  The SQL works on the typed columns, so
+that it is independent of the extraction.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tandem.functions import language as lg
+from tandem.functions import lexicons as lx
+from tandem.functions import tokens as tk
+from tandem.operators import align, checks, classify, judge, report
+from tandem.streaming import review
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+NARROW_SPACE = " "
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read.select(*columns) if columns else read
+
+
+# -- rendering -------------------------------------------------------------------
+
+
+def amount(value: Column, code: str) -> Column:
+    """A value with two decimals as the language writes it."""
+    text = F.format_number(value, 2)
+    if code == "en":
+        return text
+    return F.translate(text, ",.", NARROW_SPACE + "," if code == "fr" else ".,")
+
+
+def day(ts: Column, code: str) -> Column:
+    names: dict[int, str] = {}
+    for word, n in lx.months(code).items():
+        names.setdefault(n, word)
+    month = F.element_at(F.array(*(F.lit(names[n].title() if code in ("en", "de") else names[n]) for n in range(1, 13))), F.month(ts))
+    d, y = F.dayofmonth(ts).cast("string"), F.year(ts).cast("string")
+    parts = {"en": [d, " ", month, " ", y], "fr": [d, " ", month, " ", y], "de": [d, ". ", month, " ", y], "es": [d, " de ", month, " de ", y]}[code]
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+
+PRICE = {"en": ("The total price is US$", " in full."), "fr": ("Le prix total est de USD ", " au total."), "de": ("Der Gesamtpreis beträgt USD ", " insgesamt."), "es": ("El precio total es de USD ", " en total.")}
+DAY = {"en": ("The order was placed on ", " in writing."), "fr": ("La commande a été passée le ", " par écrit."), "de": ("Der Auftrag wurde am ", " schriftlich erteilt."), "es": ("El pedido se hizo el ", " por escrito.")}
+
+
+def sentence(frame: tuple[str, str], middle: Column) -> Column:
+    return F.concat(F.lit(frame[0]), middle, F.lit(frame[1]))
+
+
+# -- tokens ----------------------------------------------------------------------
+
+
+def _number_query(code: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", sentence(PRICE[code], amount(F.col("o_totalprice"), code)).alias("text"))
+        found = text.select("o_orderkey", F.explode(tk.numbers(F.col("text"), code, tk.none_of(tk.DATE))).alias("n"))
+        return found.select("o_orderkey", F.round("n.value", 2).alias("value"), F.col("n.kind").alias("kind"), F.col("n.currency").alias("currency"))
+
+    return run
+
+
+def _date_query(code: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", sentence(DAY[code], day(F.col("o_orderdate"), code)).alias("text"))
+        return text.select("o_orderkey", F.explode(tk.dates(F.col("text"), code)).alias("d")).select("o_orderkey", F.col("d.iso").alias("iso"))
+
+    return run
+
+
+for _code in ("en", "fr", "de", "es"):
+    query(f"num_extract_{_code}", f"SELECT o_orderkey, round(o_totalprice, 2) AS value, 'plain' AS kind, '{'US$' if _code == 'en' else 'USD'}' AS currency FROM orders")(_number_query(_code))
+    query(f"date_extract_{_code}", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")(_date_query(_code))
+
+
+# -- pair checks -----------------------------------------------------------------
+
+
+@query("number_mismatch_pairs", "SELECT o_orderkey, 'NUMBER_MISMATCH' AS type, 1 AS n_spans FROM orders WHERE o_orderkey % 97 = 0 AND round(o_totalprice, 2) <> round(o_totalprice + 10.5, 2)")
+def number_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders priced in English and German, every 97th with another amount: the findings."""
+    planted = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 10.5).otherwise(F.col("o_totalprice"))
+    texts = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", sentence(PRICE["en"], amount(F.col("o_totalprice"), "en")).alias("a"), sentence(PRICE["de"], amount(planted, "de")).alias("b"))
+    found = texts.select("o_orderkey", F.explode(checks.check_pair(F.col("a"), F.col("b"), "en", "de", F.lit("English"), F.lit("German"))).alias("f"))
+    return found.select("o_orderkey", F.col("f.type").alias("type"), (F.size("f.en_span") - 1).alias("n_spans"))
+
+
+@query(
+    "date_mismatch_pairs",
+    "SELECT o_orderkey, 'DATE_MISMATCH' AS type, 'English date is ' || strftime(o_orderdate, '%-d %B %Y') || '; French is ' || strftime(o_orderdate + INTERVAL 1 DAY, '%-d %B %Y') || '.' AS explanation FROM orders WHERE o_orderkey % 89 = 0",
+)
+def date_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders dated in English and French, every 89th a day later."""
+    planted = F.when(F.col("o_orderkey") % 89 == 0, F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("o_orderdate"))
+    texts = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", sentence(DAY["en"], day(F.col("o_orderdate"), "en")).alias("a"), sentence(DAY["fr"], day(planted, "fr")).alias("b"))
+    found = texts.select("o_orderkey", F.explode(checks.check_pair(F.col("a"), F.col("b"), "en", "fr", F.lit("English"), F.lit("French"))).alias("f"))
+    return found.select("o_orderkey", F.col("f.type").alias("type"), F.col("f.explanation").alias("explanation"))
+
+
+_CODES = ("HKD", "USD", "EUR", "GBP", "CAD")
+_CODE_SQL = "list_extract(['HKD', 'USD', 'EUR', 'GBP', 'CAD'], CAST({0} % 5 AS INT) + 1)"
+
+
+@query(
+    "currency_mismatch_pairs",
+    f"""SELECT c_custkey, 'English uses ' || a || '; Spanish uses ' || b || '.' AS explanation FROM (
+  SELECT c_custkey, {_CODE_SQL.format("c_nationkey")} AS a, {_CODE_SQL.format("(c_nationkey + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END)")} AS b FROM customer) WHERE a <> b""",
+)
+def currency_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' currencies by nation in two languages, every 11th customer with another one."""
+    codes = F.array(*map(F.lit, _CODES))
+    shifted = F.col("c_nationkey") + F.when(F.col("c_custkey") % 11 == 0, 1).otherwise(0)
+    of = lambda n: F.get(codes, (n % 5).cast("int"))
+    texts = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select("c_custkey", F.concat(F.lit("The account is kept in "), of(F.col("c_nationkey")), F.lit(" only.")).alias("a"), F.concat(F.lit("La cuenta se lleva en "), of(shifted), F.lit(" solamente.")).alias("b"))
+    found = texts.select("c_custkey", F.explode(checks.check_pair(F.col("a"), F.col("b"), "en", "es", F.lit("English"), F.lit("Spanish"))).alias("f"))
+    return found.select("c_custkey", F.col("f.explanation").alias("explanation"))
+
+
+@query(
+    "bag_match",
+    """WITH numbered AS (SELECT l_orderkey, l_quantity AS v, row_number() OVER (PARTITION BY l_orderkey, l_quantity ORDER BY l_linenumber) AS rn FROM lineitem),
+shifted AS (SELECT l_orderkey, v, row_number() OVER (PARTITION BY l_orderkey, v ORDER BY l_linenumber) AS rn FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity + 1 ELSE l_quantity END AS v FROM lineitem)),
+joined AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, a.v AS x, b.v AS y FROM numbered a FULL JOIN shifted b ON a.l_orderkey = b.l_orderkey AND a.v = b.v AND a.rn = b.rn)
+SELECT l_orderkey, count(x) FILTER (WHERE y IS NULL) AS n_left, count(y) FILTER (WHERE x IS NULL) AS n_right FROM joined GROUP BY l_orderkey""",
+)
+def bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of an order against the same with every third raised: what finds no equal on either side."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    raised = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    bags = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").alias("a"), raised.alias("b")))).alias("xs"))
+    side = lambda c: F.transform("xs", lambda x: x[c])
+    left = checks.bag_match(side("a"), side("b"), checks.same, "array<double>")
+    return bags.select("l_orderkey", left.alias("m")).select("l_orderkey", F.size("m.a").cast("bigint").alias("n_left"), F.size("m.b").cast("bigint").alias("n_right"))
+
+
+@query("nearest_pairs", None)
+def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of an order, odd lines against even ones: nearest first come, first served (tested against a loop)."""
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    bags = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("xs"))
+    side = lambda odd: F.transform(F.filter("xs", lambda x: (x["l_linenumber"] % 2 == 1) == odd), lambda x: x["l_quantity"])
+    pairs = checks.nearest_pairs(side(True), side(False), lambda x, y: F.abs(x - y), "array<double>")
+    return bags.select("l_orderkey", F.posexplode(pairs).alias("pos", "p")).select("l_orderkey", "pos", "p.a", "p.b")
+
+
+# -- text ------------------------------------------------------------------------
+
+_WORDS_SQL = "regexp_extract_all(lower(text), '[a-zà-öø-ÿœ]+')"
+_SCORES_SQL = ", ".join(f"len(list_filter(w, lambda x: list_contains([{', '.join(repr(s) for s in dict.fromkeys(ws.split()))}], x))) AS {c}_n" for c, ws in lx.STOPWORDS.items())
+_BEST_SQL = "greatest(" + ", ".join(f"{c}_n" for c in lx.STOPWORDS) + ")"
+
+
+@query(
+    "lang_detect",
+    f"""WITH words AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), scored AS (SELECT doc_id, len(w) AS n, {_SCORES_SQL} FROM words),
+ranked AS (SELECT *, list_reverse_sort([{', '.join(f'{c}_n' for c in lx.STOPWORDS)}]) AS r FROM scored)
+SELECT doc_id, CASE WHEN r[1] < 3 OR r[1] < 0.05 * n OR r[1] < 1.2 * r[2] THEN 'und' {' '.join(f"WHEN {c}_n = r[1] THEN '{c}'" for c in lx.STOPWORDS)} END AS code FROM ranked""",
+)
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by its function words."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", lg.detect_language(F.col("text"))["code"].alias("code"))
+
+
+@query(
+    "lang_confusion",
+    f"""WITH words AS (SELECT lang, {_WORDS_SQL} AS w FROM documents), scored AS (SELECT lang, len(w) AS n, {_SCORES_SQL} FROM words),
+ranked AS (SELECT *, list_reverse_sort([{', '.join(f'{c}_n' for c in lx.STOPWORDS)}]) AS r FROM scored)
+SELECT lang, CASE WHEN r[1] < 3 OR r[1] < 0.05 * n OR r[1] < 1.2 * r[2] THEN 'und' {' '.join(f"WHEN {c}_n = r[1] THEN '{c}'" for c in lx.STOPWORDS)} END AS code, count(*) AS n FROM ranked GROUP BY ALL""",
+)
+def lang_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by given and detected language."""
+    found = table(spark, sf_dir, "documents", "lang", "text").select("lang", lg.detect_language(F.col("text"))["code"].alias("code"))
+    return found.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("script_profile", r"SELECT doc_id, 0 AS han, 0 AS kana, 0 AS hangul, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS latin FROM documents")
+def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of every document by script."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", *(c.cast("bigint").alias(n) for n, c in lg.script_counts(F.col("text")).items()))
+
+
+_GUARDED_SQL = "text"
+for _a in lg.ABBREVIATIONS:
+    _GUARDED_SQL = rf"regexp_replace({_GUARDED_SQL}, '{_a.replace('.', chr(92) + '.')}(\s)', '{_a.replace('.', '<DOT>')}\1', 'g')"
+
+
+@query("sentence_split_counts", rf"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(regexp_replace({_GUARDED_SQL}, '([.!?])\s+([A-ZÀ-ÖØ-Þ("“«])', '\1<SEP>\2', 'g'), '<SEP>')) END AS n_sentences FROM documents""")
+def sentence_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of every document."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(lg.sentences(F.col("text"), False)).cast("bigint").alias("n_sentences"))
+
+
+@query("repeated_lines", "SELECT line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) <= 120 GROUP BY line HAVING count(DISTINCT doc_id) >= 3")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short lines of three documents or more, as running headers are found."""
+    lines = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.length("line") <= 120)
+    return lines.distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 3")
+
+
+@query("weighted_median", "SELECT lang, median(n_chars) AS median FROM documents, range(0, greatest(1, n_chars // 1000)) GROUP BY lang")
+def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median length by language, longer texts weighing more."""
+    weight = F.greatest(F.lit(1), F.floor(F.col("n_chars") / 1000))
+    return table(spark, sf_dir, "documents", "lang", "n_chars").groupBy("lang").agg(F.percentile("n_chars", 0.5, weight).alias("median"))
+
+
+@query("marked_passages", """SELECT doc_id, replace(replace(text[1:3], '&', '&amp;'), '<', '&lt;') || '<mark>' || replace(replace(text[4:9], '&', '&amp;'), '<', '&lt;') || '</mark>' || replace(replace(text[10:40], '&', '&amp;'), '<', '&lt;') AS html
+FROM documents WHERE length(text) >= 40 AND NOT regexp_matches(text[1:40], '[>"'']')""")
+def marked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span [3, 9) of every longer document marked, as in a report."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where((F.length("text") >= 40) & ~F.substring("text", 1, 40).rlike("[>\"']"))
+    return docs.select("doc_id", report.marked(F.substring("text", 1, 40), F.array(F.lit(3), F.lit(9))).alias("html"))
+
+
+@query("cache_key", "SELECT doc_id, sha256('model' || chr(31) || coalesce(text, '')) AS key FROM documents")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content address of every text as a request."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", judge.cache_key(F.lit("model"), F.coalesce("text", F.lit(""))).alias("key"))
+
+
+# -- alignment -------------------------------------------------------------------
+
+
+def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(F.col("conv_id").cast("string").alias("run_id"), F.lit("en").alias("slot"), F.col("turn").cast("int").alias("block_n"), F.lit(1).alias("page"), (F.col("role") == "system").alias("is_heading"), "text", "role", "conv_id", "turn")
+
+
+@query("section_spans", "SELECT conv_id, turn, sum(CASE WHEN role = 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS sec_ord FROM conversations")
+def section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section of every turn; a system turn opens one."""
+    return align.section_spans(conversation_blocks(spark, sf_dir)).select("conv_id", "turn", "sec_ord")
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the next turn, as pairs."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    nxt = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("zh_text"))
+    made = turns.where("role = 'user'").withColumnRenamed("text", "en_text").join(nxt, ["conv_id", "turn"])
+    named = made.withColumns({"run_id": F.col("conv_id").cast("string"), "sec_id": F.lit("sec_1"), "pair_n": F.col("turn").cast("int"), "pair_id": F.format_string("p_%03d", F.col("turn").cast("int"))})
+    return named.withColumns({"en_ids": F.array(F.concat(F.lit("en_s"), "turn")), "zh_ids": F.array(F.concat(F.lit("zh_s"), (F.col("turn") + 1)))})
+
+
+_PAIRS_SQL = "SELECT u.conv_id, u.turn, u.text AS a, v.text AS b FROM conversations u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn = u.turn + 1 WHERE u.role = 'user' AND v.role = 'assistant'"
+
+
+@query("context_prev_next", f"SELECT conv_id, turn, lag(a) OVER w AS prev_en, lead(b) OVER w AS next_zh FROM ({_PAIRS_SQL}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def context_prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring pairs of each pair."""
+    return judge.context(conversation_pairs(spark, sf_dir)).select("conv_id", "turn", "prev_en", "next_zh")
+
+
+@query("batches_of_ten", f"SELECT conv_id, turn, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10)::INT AS batch_no FROM ({_PAIRS_SQL})")
+def batches_of_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch of each pair."""
+    return judge.batches(conversation_pairs(spark, sf_dir)).select("conv_id", "turn", "batch_no")
+
+
+@query(
+    "pair_text_join",
+    """SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS en_text, string_agg(trim(text), ' ' ORDER BY turn) FILTER (WHERE role = 'assistant' AND trim(text) <> '') AS zh_text
+FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'user' AND trim(text) <> '') > 0 AND count(*) FILTER (WHERE role = 'assistant' AND trim(text) <> '') > 0""",
+)
+def pair_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns and assistant turns of a conversation joined as the two sides of one pair."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").where("role in ('user', 'assistant')").withColumn("slot", F.when(F.col("role") == "user", "en").otherwise("zh"))
+    own = turns.select(F.col("conv_id").cast("string").alias("run_id"), "conv_id", "slot", "turn", F.concat("slot", F.lit("_s"), "turn").alias("sid"), F.lit(1).alias("page"), "text", F.lit("Latn").alias("script"))
+    ids = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("slot") == s, F.struct("turn", "sid")))), lambda x: x["sid"]).alias(f"{s}_ids")
+    pairs = own.groupBy("run_id", "conv_id").agg(ids("en"), ids("zh")).withColumn("pair_id", F.lit("p_001"))
+    return checks.pair_texts(pairs, own).where("en_text <> '' AND zh_text <> ''").select("conv_id", "en_text", "zh_text")
+
+
+@query("unpaired_turns", f"SELECT conv_id, turn FROM conversations WHERE role <> 'system' EXCEPT (SELECT conv_id, turn FROM ({_PAIRS_SQL}) UNION SELECT conv_id, turn + 1 FROM ({_PAIRS_SQL}))")
+def unpaired_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of users and assistants that are in no pair."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role").where("role <> 'system'").distinct()
+    sid = F.concat(F.when(F.col("role") == "user", "en_s").otherwise("zh_s"), "turn")
+    return align.unpaired(turns.withColumns({"run_id": F.col("conv_id").cast("string"), "sid": sid}), conversation_pairs(spark, sf_dir)).select("conv_id", "turn").distinct()
+
+
+@query("glossary_zip", "SELECT p_brand AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ord, p_name AS en, p_type AS zh FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 40")
+def glossary_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of a brand's parts as two term lists of equal length, paired by place; 40 at most."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name", "p_type")
+    xs = parts.groupBy(F.col("p_brand").alias("run_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))).alias("xs"))
+    side = lambda c: F.transform("xs", lambda x: x[c])
+    made = align.glossary(xs.select("run_id", side("p_name").alias("en_terms"), side("p_type").alias("zh_terms")))
+    return made.select(F.col("run_id").alias("brand"), F.col("ord").cast("bigint").alias("ord"), "en", "zh")
+
+
+@query(
+    "nearest_neighbour",
+    """WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.event_id, coalesce(min_by(b.event_id, abs(a.n - b.n) * 1000000 + b.n), -1) AS near_id FROM e a LEFT JOIN e b ON b.user_id = a.user_id AND b.event_type = 'purchase' WHERE a.event_type = 'error' GROUP BY a.event_id""",
+)
+def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each error of a user the purchase that is nearest by order, as for an omission its neighbour."""
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type").withColumn("s_n", n)
+    own = events.select(F.col("user_id").cast("string").alias("run_id"), F.lit("sec_1").alias("sec_id"), F.lit("en").alias("slot"), F.col("event_id").cast("string").alias("sid"), "s_n", "event_type", "event_id")
+    bought = own.where("event_type = 'purchase'")
+    pairs = bought.select("run_id", "sec_id", F.col("s_n").alias("pair_n"), F.array("sid").alias("en_ids"), F.array("sid").alias("zh_ids"), F.lit("").alias("en_text"), F.lit(1).alias("en_page"), F.col("sid").alias("zh_text"), F.lit(1).alias("zh_page"))
+    near = judge.neighbours(own.where("event_type = 'error'"), own, pairs)
+    return near.select(F.col("sid").cast("bigint").alias("event_id"), F.coalesce(F.nullif("other_text", F.lit("")).cast("bigint"), F.lit(-1)).alias("near_id"))
+
+
+@query("verdict_cascade", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'S' || toxic ELSE 'T' || quality END AS verdict FROM (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id)")
+def verdict_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as two tiers of judgments: the strong one wins where there is one."""
+    rows = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
+    named = rows.select(F.lit("r").alias("run_id"), F.col("doc_id").cast("string").alias("pair_id"), "doc_id", "quality", "toxic")
+    triage = named.select("run_id", "pair_id", F.concat(F.lit("T"), "quality").alias("verdict"))
+    strong = named.where("doc_id % 3 = 0").select("run_id", "pair_id", F.concat(F.lit("S"), "toxic").alias("verdict"))
+    return judge.verdicts(triage, strong).select(F.col("pair_id").cast("bigint").alias("doc_id"), "verdict")
+
+
+# -- findings --------------------------------------------------------------------
+
+_TYPES = ("NUMBER_MISMATCH", "DATE_MISMATCH", "HEDGE_CHANGE", "WORDING", "MEANING_SHIFT")
+_TYPE_SQL = f"list_extract([{', '.join(repr(t) for t in _TYPES)}], CAST(event_id % 5 AS INT) + 1)"
+_FINDINGS_SQL = f"""SELECT 'r_' || (user_id % 20) AS run_id, event_id, {_TYPE_SQL} AS type, CASE WHEN event_id % 3 = 0 THEN 'deterministic' ELSE 'llm' END AS source,
+  'p_' || lpad((event_id % 60)::VARCHAR, 3, '0') AS pair_id, (event_id % 7)::INT AS page, (event_id % 2)::INT AS s FROM events"""
+_DEDUPED_SQL = f"""WITH f AS ({_FINDINGS_SQL}), det AS (SELECT * FROM f WHERE source = 'deterministic' QUALIFY row_number() OVER (PARTITION BY run_id, type, pair_id, s ORDER BY event_id) = 1),
+model AS (SELECT * FROM f WHERE source = 'llm' AND (run_id, pair_id) NOT IN (SELECT (run_id, pair_id) FROM det) QUALIFY row_number() OVER (PARTITION BY run_id, type, pair_id ORDER BY event_id) = 1),
+kept AS (SELECT *, CASE WHEN type IN ('NUMBER_MISMATCH', 'DATE_MISMATCH') THEN 0 WHEN type IN ('HEDGE_CHANGE', 'MEANING_SHIFT') THEN 1 ELSE 2 END AS r FROM (SELECT * FROM det UNION ALL SELECT * FROM model))"""
+
+
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings made from events."""
+    events = table(spark, sf_dir, "events", "event_id", "user_id")
+    kind = F.get(F.array(*map(F.lit, _TYPES)), (F.col("event_id") % 5).cast("int"))
+    s = (F.col("event_id") % 2).cast("int")
+    side = F.struct((F.col("event_id") % 7).cast("int").alias("page"), F.lit("Some words of a text.").alias("text"), F.array(s, s + 4).alias("span"))
+    return events.select(
+        F.concat(F.lit("r_"), F.col("user_id") % 20).alias("run_id"), F.col("event_id").alias("input_ord"), kind.alias("type"), F.when(F.col("event_id") % 3 == 0, "deterministic").otherwise("llm").alias("source"), F.lit("Terms").alias("section"),
+        F.concat(F.lit("p_"), F.lpad((F.col("event_id") % 60).cast("string"), 3, "0")).alias("pair_id"), F.lit(None).cast("string").alias("sentence_id"), side.alias("en"), side.alias("zh"), F.lit("Differs.").alias("explanation"), F.lit(0.875).alias("confidence"),
+    )
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nothing = lambda ddl: spark.createDataFrame([], ddl)
+    runs = spark.range(20).select(F.concat(F.lit("r_"), "id").alias("run_id"), F.lit("EN").alias("authoritative"), F.lit("English").alias("name_a"), F.lit("Chinese").alias("name_b"))
+    return classify.classify(event_findings(spark, sf_dir), nothing("run_id string, sec_n int, en_heading string, zh_heading string"), nothing("run_id string, en string, zh string"), runs)
+
+
+@query("finding_dedupe", f"{_DEDUPED_SQL} SELECT run_id, event_id AS input_ord, type, source, pair_id FROM kept")
+def finding_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that stay after both kinds of deduplication."""
+    return classify.dedupe(event_findings(spark, sf_dir)).select("run_id", "input_ord", "type", "source", "pair_id")
+
+
+@query("finding_rank", f"{_DEDUPED_SQL} SELECT run_id, printf('f_%03d', row_number() OVER (PARTITION BY run_id ORDER BY r, page, pair_id, type, CASE source WHEN 'deterministic' THEN 0 ELSE 1 END, event_id)) AS id, type, pair_id, source, 0.88 AS confidence FROM kept")
+def finding_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the ids that their rank gives them."""
+    return classified(spark, sf_dir).select("run_id", "id", "type", "pair_id", "source", "confidence")
+
+
+@query("finding_counts", f"{_DEDUPED_SQL} SELECT run_id, count(*) FILTER (WHERE r = 0) AS critical, count(*) FILTER (WHERE r = 1) AS material, count(*) FILTER (WHERE r = 2) AS cosmetic, 0 AS reviewed, count(*) AS total, 0 AS unaligned_sections FROM kept GROUP BY run_id")
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each run."""
+    return classify.recount(classified(spark, sf_dir))
+
+
+@query("report_rollup", f"{_DEDUPED_SQL} SELECT run_id, count(*) FILTER (WHERE r = 0) AS critical, count(*) FILTER (WHERE r = 1) AS material, count(*) FILTER (WHERE r = 2) AS cosmetic, count(*) AS unreviewed, 0 AS confirmed, 0 AS dismissed, 0 AS unresolved, count(*) AS total FROM kept GROUP BY run_id")
+def report_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a report's header."""
+    return report.rollup(classified(spark, sf_dir))
+
+
+_DECISIONS_SQL = """SELECT 'r_' || (user_id % 20) AS run_id, 'f_' || lpad((event_id % 90)::VARCHAR, 3, '0') AS finding_id, ts, event_id,
+  list_extract(['confirmed', 'dismissed', 'unresolved', 'bogus'], CAST(event_id % 4 AS INT) + 1) AS status, CASE WHEN event_id % 8 < 4 THEN 'false_positive' END AS reason FROM events"""
+
+
+def event_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions made from events; some are invalid."""
+    e = F.col("event_id")
+    status = F.get(F.array(*map(F.lit, ("confirmed", "dismissed", "unresolved", "bogus"))), (e % 4).cast("int"))
+    return table(spark, sf_dir, "events", "event_id", "ts", "user_id").select(
+        F.concat(F.lit("r_"), F.col("user_id") % 20).alias("run_id"), F.concat(F.lit("f_"), F.lpad((e % 90).cast("string"), 3, "0")).alias("finding_id"), "ts", status.alias("status"),
+        F.when(e % 8 < 4, "false_positive").alias("dismiss_reason"), F.lit(" ").alias("note"), F.lit(True).alias("has_reason"), F.lit(True).alias("has_note"),
+    )
+
+
+@query("decision_last_write", f"SELECT run_id, finding_id, max_by(status, strftime(ts, '%Y%m%d%H%M%S%f') || status) AS status, max_by(CASE WHEN status = 'dismissed' THEN reason ELSE '-' END, strftime(ts, '%Y%m%d%H%M%S%f') || status) AS dismiss_reason FROM ({_DECISIONS_SQL}) WHERE status <> 'bogus' AND NOT (status = 'dismissed' AND reason IS NULL) GROUP BY ALL")
+def decision_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision that holds for each finding."""
+    last = review.last_decisions(event_decisions(spark, sf_dir))
+    return last.select("run_id", "finding_id", F.col("decision.status").alias("status"), F.coalesce("decision.dismiss_reason", F.lit("-")).alias("dismiss_reason"))
+
+
+@query("decision_errors", f"SELECT CASE WHEN status = 'bogus' THEN 'unknown status' WHEN status = 'dismissed' AND reason IS NULL THEN 'a dismissal needs a reason' ELSE 'none' END AS error, count(*) AS n FROM ({_DECISIONS_SQL}) GROUP BY ALL")
+def decision_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by what is wrong with them."""
+    return review.validated(event_decisions(spark, sf_dir)).groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("export_gate", f"{_DEDUPED_SQL} SELECT run_id, count(*) FILTER (WHERE r = 0) = 0 AS ready FROM kept GROUP BY run_id")
+def export_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose critical findings are all decided."""
+    return classify.export_gate(classified(spark, sf_dir))
+
+
+@query("topk_terms", "SELECT p_brand, p_name FROM (SELECT p_brand, p_name, min(p_partkey) AS k FROM part GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY k) <= 40")
+def topk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 distinct names of each brand, found as defined terms in a text that defines them all."""
+    parts = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name")
+    line = F.concat(F.lit('"'), "p_name", F.lit('" means a part.'))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
+    return parts.groupBy("p_brand").agg(text.alias("text")).select("p_brand", F.explode(align.terms(F.col("text"))).alias("p_name"))

@@ -1 +1 @@
-
+"""Readers and writers of run tables, judgments and documents."""

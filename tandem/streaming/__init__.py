@@ -1 +1 @@
-
+"""Progress and review as streams."""
