@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
 Each text is encoded by the tiktoken library, whole, in one pass over the
-input: no shuffle, and one Arrow batch in memory at a time.  Long texts are cut
+input: no shuffle, and a megabyte of text in memory as ids at a time.  Long texts are cut
 first, but only where the pre-tokenizer's pattern would cut anyway:
 
 * between a non-space character and white space.  No alternative of the
@@ -23,8 +23,11 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,10 @@ from pyspark.sql import functions as F
 PIECE_CHARS = 65_536
 LONG_RUN = 8_192
 
+#: Texts, and their bytes, that are encoded before the result is handed on.
+ROWS = 512
+PART_CHARS = 1 << 20
+
 #: The white space of the library's regex engine (Unicode White_Space).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LONG_RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
@@ -91,26 +98,42 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, key: str = "
     ``with_ids`` the digests ``ids_sha256`` and ``decoded_sha256`` replace the
     two, so that ids never leave the worker.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
     out = "ids array<int>, decoded binary" if with_ids else "ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_path, pattern)
-        names = {}
+        names: dict[int, str] = {}
         for batch in batches:
-            rows = []
-            for doc, value in zip(batch["k"], batch["t"], strict=True):
-                ids = encode(enc, value)
-                decoded = enc.decode_bytes(ids)
+            for part in _parts(batch):
+                texts = part.column("t").to_pylist()
+                ids = [encode(enc, t) for t in texts]
+                decoded = [enc.decode_bytes(i) for i in ids]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                same = [d == t.encode("utf-8") for d, t in zip(decoded, texts, strict=True)]
                 if with_ids:
-                    rows.append((doc, len(ids), decoded == value.encode("utf-8"), ids, decoded))
+                    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+                    made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat)), pa.array(decoded, pa.binary())
                 else:
-                    for i in set(ids).difference(names):
+                    for i in set(chain.from_iterable(ids)).difference(names):
                         names[i] = str(i)
-                    joined = ",".join(map(names.__getitem__, ids))
-                    rows.append((doc, len(ids), decoded == value.encode("utf-8"), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            yield pd.DataFrame(rows, columns=["k", "n_tokens", "round_trip", "a", "b"])
+                    joined = [",".join(map(names.__getitem__, i)) for i in ids]
+                    made = pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes), pa.array(same), *made], names=["k", "n_tokens", "round_trip", "a", "b"])
 
     a, b = (x.split() for x in out.split(", "))
-    made = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(run, f"k {kind}, n_tokens bigint, round_trip boolean, a {a[1]}, b {b[1]}")
+    made = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, f"k {kind.simpleString()}, n_tokens bigint, round_trip boolean, a {a[1]}, b {b[1]}")
     return made.select(F.col("k").alias(key), "n_tokens", F.col("a").alias(a[0]), F.col("b").alias(b[0]), "round_trip")
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``ROWS`` texts and about ``PART_CHARS`` bytes: what is in memory as ids at once."""
+    sizes = pc.binary_length(batch.column("t")).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at >= ROWS or held + size > PART_CHARS):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if len(sizes) > at:
+        yield batch.slice(at)
