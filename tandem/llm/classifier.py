@@ -28,9 +28,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 8000
@@ -197,13 +198,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Indicators()
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "y": b["y"], "s": [slots(t).astype(np.int32).tobytes() for t in b["t"]]})
+            found = pa.array((slots(t.as_py()).astype(np.int32).tobytes() for t in b.column("t")), pa.binary(), size=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), found], names=["k", "y", "s"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = texts.mapInPandas(run, f"k {kind}, y int, s binary").toPandas()
+    found = texts.select("k", F.col("y").cast("int").alias("y"), "t").mapInArrow(run, f"k {kind}, y int, s binary").toPandas()
     found = found.drop_duplicates("k").sort_values("k", kind="stable")
     return fit([np.frombuffer(s, np.int32) for s in found["s"]], found["y"].to_numpy().astype(int) == 1)
 
@@ -211,10 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def classify(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Every row with its score; a column of that name is replaced."""
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         slots = Indicators()
         for texts in batches:
-            yield pd.Series([model.score(slots(t or "")) for t in texts], dtype="float64")
+            yield pa.array((model.score(slots(t.as_py())) for t in texts), pa.float64(), size=len(texts))
 
-    return docs.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(score, F.arrow_udf(scored, "double", ArrowUDFType.SCALAR_ITER)(F.coalesce(F.col(text), F.lit(""))))

@@ -193,8 +193,8 @@ def _leaks_column(text: Column, items: list[tuple[object, str]], item_type: pa.D
     def judge(texts: pa.Array) -> pa.Array:
         if not ready:
             ready.append(Items(items, threshold, radius))
-        rows = [[{"item": i, "similarity": s, "first_word": a, "end_word": b} for i, s, a, b in ready[0].leaks(t or "")] for t in texts.to_pylist()]
-        return pa.array(rows, out)
+        rows = ([{"item": i, "similarity": s, "first_word": a, "end_word": b} for i, s, a, b in ready[0].leaks(t.as_py() or "")] for t in texts)
+        return pa.array(rows, out, size=len(texts))
 
     return F.arrow_udf(judge, f"array<struct<item:{ddl},similarity:double,first_word:bigint,end_word:bigint>>")(text)
 

@@ -70,6 +70,9 @@ MARGIN = 0.03
 #: ... in sets of up to so many shingles; larger ones have all their pairs verified.
 SURE = 2048
 
+#: Texts whose sets are in memory at once.
+ROWS = 512
+
 #: Rows that one comparison takes: members outside the main component, and members.
 BLOCK = (256, 2048)
 
@@ -217,16 +220,16 @@ def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
     kind = docs.schema[key].dataType.simpleString()
     least = ceil(percent / (100 - percent)) if percent < 100 else np.inf
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.pop("t")]
-            batch["n"] = np.array([len(s) for s in sets], np.int64)
-            batch["set_key"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            batch["regs"] = [registers(s).tobytes() if len(s) >= least else None for s in sets]
-            batch["prints"] = [prints(s).tobytes() if len(s) >= least else None for s in sets]
-            yield batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                sets = [shingle_set(t.as_py(), size) for t in batch.column("t")]
+                kept = lambda f: pa.array([f(s).tobytes() if len(s) >= least else None for s in sets], pa.binary())
+                keys = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), keys, kept(registers), kept(prints)], names=["k", "n", "set_key", "regs", "prints"])
 
-    return docs.select(F.col(key).alias("k"), text_of(text).alias("t")).mapInPandas(run, f"k {kind}, n bigint, set_key binary, regs binary, prints binary")
+    return docs.select(F.col(key).alias("k"), text_of(text).alias("t")).mapInArrow(run, f"k {kind}, n bigint, set_key binary, regs binary, prints binary")
 
 
 class _Links:
