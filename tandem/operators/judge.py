@@ -124,12 +124,12 @@ def neighbours(omitted: DataFrame, sentences: DataFrame, pairs: DataFrame) -> Da
     """
     placed = []
     for slot, other in (("en", "zh"), ("zh", "en")):
-        ids = pairs.where(F.size(f"{other}_ids") > 0).select("run_id", "sec_id", "pair_n", F.explode(f"{slot}_ids").alias("sid"), F.col(f"{other}_text").alias("text"), F.col(f"{other}_page").alias("page"))
+        ids = pairs.where(F.size(f"{other}_ids") > 0).select("run_id", "sec_id", "pair_n", F.explode(f"{slot}_ids").alias("sid"), F.col(f"{other}_text").alias("other_text"), F.col(f"{other}_page").alias("other_page"))
         at = ids.join(sentences.where(F.col("slot") == slot).select("run_id", "sid", F.col("s_n").alias("at")), ["run_id", "sid"])
         own = omitted.where(F.col("slot") == slot)
         near = own.join(at.drop("sid"), ["run_id", "sec_id"], "left")
-        best = F.min_by(F.struct("text", "page"), F.struct(F.abs(F.col("at") - F.col("s_n")), "pair_n")).alias("n")
-        placed.append(near.groupBy("run_id", "sec_id", "slot", "sid").agg(best).select("run_id", "sec_id", "slot", "sid", F.coalesce("n.text", F.lit("")).alias("other_text"), F.col("n.page").alias("other_page")))
+        best = F.min_by(F.struct("other_text", "other_page"), F.struct(F.abs(F.col("at") - F.col("s_n")), "pair_n")).alias("n")
+        placed.append(near.groupBy("run_id", "sec_id", "slot", "sid").agg(best).select("run_id", "sec_id", "slot", "sid", F.coalesce("n.other_text", F.lit("")).alias("other_text"), F.col("n.other_page").alias("other_page")))
     return placed[0].unionByName(placed[1])
 
 

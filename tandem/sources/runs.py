@@ -46,7 +46,10 @@ def load_runs(started: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 def check_uploads(files: DataFrame, authoritative: str | Column | None = None) -> DataFrame:
-    """``binaryFile`` rows with ``error``: an empty file, or one that is no PDF; null where it is fine."""
+    """Uploads (path, content) with ``error``: an empty file, or one that is no PDF; null where it is fine.
+
+    Spark's ``binaryFile`` reader leaves empty files out; list them apart to report them.
+    """
     magic = F.substring(F.col("content"), 1, 4) == F.lit(b"%PDF")
     fine = F.when(F.length("content") == 0, "the file is empty").when(~magic, "the file is not a PDF")
     return files.withColumn("error", fine)
