@@ -74,8 +74,20 @@ def worded(authoritative: Column, name_a: Column, name_b: Column) -> Column:
     return F.when(change, F.when(absent, ended).otherwise(added)).otherwise(F.coalesce("explanation", F.lit("")))
 
 
-def classify(findings: DataFrame, sections: DataFrame, glossary: DataFrame, runs: DataFrame, codes: tuple[str, str] = ("en", "zh")) -> DataFrame:
-    """Ranked findings with ids.  ``runs(run_id, authoritative, name_a, name_b)``, ``glossary(run_id, en, zh)``.
+def has_modal(text: Column, code: Column | str) -> Column:
+    """A modal word of the language occurs (of English for unknown codes)."""
+    if isinstance(code, str):
+        return text.rlike(modal_pattern(code))
+    result = text.rlike(modal_pattern("en"))
+    for c in lx.MODALS:
+        result = F.when(code == c, text.rlike(modal_pattern(c))).otherwise(result)
+    return result
+
+
+def classify(findings: DataFrame, sections: DataFrame, glossary: DataFrame, runs: DataFrame, codes: tuple[Column | str, Column | str] = ("en", "zh")) -> DataFrame:
+    """Ranked findings with ids.  ``runs(run_id, authoritative, name_a, name_b, …)``, ``glossary(run_id, en, zh)``.
+
+    ``codes`` are the languages of the slots, or columns of ``runs``.
 
     One shuffle by run for the rank; glossaries hold at most 40 terms a run.
     """
@@ -85,7 +97,7 @@ def classify(findings: DataFrame, sections: DataFrame, glossary: DataFrame, runs
     some = (en_s != "") | (zh_s != "")
     en, zh = F.when(some, en_s).otherwise(F.coalesce("en.text", F.lit(""))), F.when(some, zh_s).otherwise(F.coalesce("zh.text", F.lit("")))
     months = r"(?i)\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
-    weighty = F.concat_ws(" ", en, zh).rlike(NUMBER) | en.rlike(months) | en.rlike(modal_pattern(codes[0])) | zh.rlike(modal_pattern(codes[1])) | has_term(en, zh, F.col("terms"))
+    weighty = F.concat_ws(" ", en, zh).rlike(NUMBER) | en.rlike(months) | has_modal(en, codes[0]) | has_modal(zh, codes[1]) | has_term(en, zh, F.col("terms"))
     kind = F.coalesce("type", F.lit("WORDING"))
     raised = F.when((kind == "OMISSION_MINOR") & weighty, "OMISSION_MATERIAL").otherwise(kind)
     severity = F.when((F.col("type") == "HEDGE_CHANGE") & F.col("headings").rlike(f"(?iU){lx.RISK_HEADING}"), "Critical").otherwise(F.coalesce(F.element_at(_map(lx.SEVERITY), F.col("type")), F.lit("Cosmetic")))
