@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tandem.functions import language as lg
 from tandem.functions import lexicons as lx
 from tandem.functions import tokens as tk
-from tandem.operators import align, checks, classify, judge, report
+from tandem.operators import align, checks, classify, judge, layout, report
 from tandem.streaming import review
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,3 +430,119 @@ def topk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit('"'), "p_name", F.lit('" means a part.'))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n")
     return parts.groupBy("p_brand").agg(text.alias("text")).select("p_brand", F.explode(align.terms(F.col("text"))).alias("p_name"))
+
+
+# -- more operators ----------------------------------------------------------------
+
+
+@query("num_extract_zh", "SELECT o_orderkey, round(o_totalprice, 2) AS value, '港幣' AS currency FROM orders")
+def num_extract_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices read back from Chinese sentences."""
+    text = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", F.concat(F.lit("總代價為港幣"), F.format_number("o_totalprice", 2), F.lit("元，以現金支付。")).alias("text"))
+    return text.select("o_orderkey", F.explode(tk.numbers(F.col("text"), "zh", tk.none_of(tk.DATE))).alias("n")).select("o_orderkey", F.round("n.value", 2).alias("value"), F.col("n.currency").alias("currency"))
+
+
+@query("date_extract_zh", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def date_extract_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates read back from Chinese sentences, the month in Chinese numerals."""
+    months = F.array(*map(F.lit, ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二")))
+    d = F.col("o_orderdate")
+    text = F.concat(F.lit("於"), F.year(d).cast("string"), F.lit("年"), F.element_at(months, F.month(d)), F.lit("月"), F.dayofmonth(d).cast("string"), F.lit("日訂立。"))
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.explode(tk.dates(text, "zh")).alias("d")).select("o_orderkey", F.col("d.iso").alias("iso"))
+
+
+@query("cjk_numerals", "SELECT p_partkey, p_size::DOUBLE AS value FROM part")
+def cjk_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes written in Chinese numerals and evaluated again."""
+    digits = F.array(*map(F.lit, ("", "一", "二", "三", "四", "五", "六", "七", "八", "九")))
+    tens, ones = F.get(digits, F.floor(F.col("p_size") / 10).cast("int")), F.get(digits, F.col("p_size") % 10)
+    text = F.when(F.col("p_size") >= 20, F.concat(tens, F.lit("十"), ones)).when(F.col("p_size") >= 10, F.concat(F.lit("十"), ones)).otherwise(ones)
+    return table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", tk.cjk_number(text).alias("value"))
+
+
+@query("formatted_values", r"SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) AND abs(c_acctbal) < 1000 THEN c_acctbal::BIGINT::VARCHAR WHEN c_acctbal = floor(c_acctbal) THEN format('{:,}', c_acctbal::BIGINT) ELSE regexp_replace(regexp_replace(printf('%.4f', c_acctbal), '0+$', ''), '\.$', '') END AS shown FROM customer")
+def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances as an explanation shows them."""
+    return table(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select("c_custkey", checks.trimmed(F.col("c_acctbal")).alias("shown"))
+
+
+@query("quoted_spans", "SELECT doc_id, strpos(text, text[30:45]) - 1 AS s FROM documents WHERE length(text) >= 60 AND NOT regexp_matches(text[30:45], '^\\s|\\s$')")
+def quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of quotations of sixteen characters."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.length("text") >= 60)
+    quoted = docs.withColumn("needle", F.substring("text", 30, 16)).where(~F.col("needle").rlike(r"^\s|\s$"))
+    return quoted.select("doc_id", F.get(judge.find_span("text", "needle"), 0).cast("bigint").alias("s"))
+
+
+@query("prevailing_language", "SELECT n_nationkey, list_extract(['en', 'fr', 'de', 'zh'], CAST(n_nationkey % 4 AS INT) + 1) AS code FROM nation")
+def prevailing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language that each nation's clause names."""
+    clauses = F.array(*map(F.lit, ("The English text shall prevail over the others.", "La version française fait foi.", "Maßgeblich ist der Text; die deutsche Fassung ist verbindlich.", "概以中文版本為準。")))
+    blocks = table(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").cast("string").alias("run_id"), F.lit("en").alias("slot"), F.lit(1).alias("block_n"), F.get(clauses, (F.col("n_nationkey") % 4).cast("int")).alias("text"))
+    return align.prevailing(blocks).select(F.col("run_id").cast("int").alias("n_nationkey"), "code")
+
+
+@query(
+    "first_pages_text",
+    """WITH lined AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN '# ' ELSE '' END || text AS line FROM conversations),
+summed AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lined)
+SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS head FROM summed WHERE before <= 3500 GROUP BY conv_id""",
+)
+def first_pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation until 3500 characters are passed."""
+    return layout.first_pages_text(conversation_blocks(spark, sf_dir)).select(F.col("run_id").cast("bigint").alias("conv_id"), "head")
+
+
+@query("unreadable_pages", "SELECT conv_id, turn FROM conversations WHERE length(trim(text)) < 20 OR role = 'system'")
+def unreadable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as pages; those of the system have no lines, others are unreadable if short."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(F.col("conv_id").cast("string").alias("run_id"), F.lit("en").alias("slot"), F.col("turn").alias("page"), "role", "text")
+    found = layout.unreadable_pages(turns.select("run_id", "slot", "page"), turns.where("role <> 'system'").select("run_id", "slot", "page", "text"))
+    return found.select(F.col("run_id").cast("bigint").alias("conv_id"), F.col("page").alias("turn"))
+
+
+@query(
+    "omission_escalation",
+    f"""SELECT doc_id, CASE WHEN regexp_matches(t, '[0-9]') OR regexp_matches(t, '(?i)\\b(?:{"|".join(lx.MODALS["en"])})\\b') OR lower(t) LIKE '%and%' THEN 'Critical' ELSE 'Cosmetic' END AS severity
+FROM (SELECT doc_id, text[1:60] AS t FROM documents WHERE doc_id % 3 = 0)""",
+)
+def omission_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of documents as minor omissions: material with a number, a modal word or a glossary term."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("doc_id % 3 = 0")
+    words = F.substring("text", 1, 60)
+    side = lambda t, span: F.struct(F.lit(1).alias("page"), t.alias("text"), span.alias("span"))
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("run_id"), F.lit(1).alias("input_ord"), F.lit("OMISSION_MINOR").alias("type"), F.lit("llm").alias("source"), F.lit("Terms").alias("section"), F.lit(None).cast("string").alias("pair_id"), F.lit("en_s1").alias("sentence_id"),
+        side(words, F.array(F.lit(0), F.length(words))).alias("en"), side(F.lit(""), F.lit(None).cast("array<int>")).alias("zh"), F.lit("Left out.").alias("explanation"), F.lit(0.7).alias("confidence"),
+    )
+    runs = rows.select("run_id", F.lit("EN").alias("authoritative"), F.lit("English").alias("name_a"), F.lit("Chinese").alias("name_b")).distinct()
+    glossary = runs.select("run_id", F.lit("and").alias("en"), F.lit("").alias("zh"))
+    made = classify.classify(rows, spark.createDataFrame([], "run_id string, sec_n int, en_heading string, zh_heading string"), glossary, runs)
+    return made.select(F.col("run_id").cast("bigint").alias("doc_id"), "severity")
+
+
+@query("progress_stages", "SELECT user_id, max(event_id % 8 + 1)::BIGINT AS reached, max(CASE WHEN event_id % 8 = 7 THEN 1 ELSE 0 END) AS finished FROM events GROUP BY user_id")
+def progress_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as progress of runs: the furthest stage of each."""
+    stage = F.get(F.array(*map(F.lit, review.STAGES)), (F.col("event_id") % 8).cast("int"))
+    events = table(spark, sf_dir, "events", "event_id", "ts", "user_id").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"), F.lit(True).alias("done"))
+    return review.stage_state(events).select(F.col("run_id").cast("bigint").alias("user_id"), "reached", "finished")
+
+
+@query("accepted_matches", None)
+def accepted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as proposed matches, each accepted if both its places are free (tested against a loop)."""
+    events = table(spark, sf_dir, "events", "event_id", "user_id").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("ord"), (F.col("event_id") % 23).cast("int").alias("i"), (F.col("event_id") % 19).cast("int").alias("j"), F.lit(0.7).alias("score"))
+    sides = events.select("run_id", F.lit(20).alias("n_en"), F.lit(20).alias("n_zh")).distinct()
+    return align.accept_matches(events, sides).select("run_id", "i", "j")
+
+
+@query("layout_sentences", None)
+def layout_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents laid out into blocks and sentences (tested on a fixture)."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    lines = docs.select(F.col("doc_id").cast("string").alias("run_id"), F.lit("en").alias("slot"), F.posexplode(F.split("text", "\n", -1)).alias("n", "text")).where(F.trim("text") != "")
+    y = (60 + 15 * (F.col("n") % 40)).cast("double")
+    placed = lines.select("run_id", "slot", (1 + F.floor(F.col("n") / 40)).cast("int").alias("page"), F.col("n").cast("int").alias("block_no"), F.lit(0).alias("line_no"), "text", F.lit(10.0).alias("size"), (F.length("text") < 40).alias("bold"), F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(300.0).alias("x1"), (y + 10).alias("y1"))
+    scripts = lines.select("run_id", "slot").distinct().withColumn("script", F.lit("Latn"))
+    return layout.layout(placed, scripts)[1].select("run_id", "sid", "block_id", "text")
