@@ -16,6 +16,9 @@ same offset, if anchor and period together fit the window.  (Window 20, period
    first occurrence of each.
 4. In each document, windows at such places that are not first occurrences go.
 
+Of whole copies only the first has its windows hashed: in the others every
+window starts earlier.
+
 Scale: counts and first occurrences are combined before they are shuffled, so
 that a passage that a third of all documents share is a few rows for each task.
 Step 2 is a plain join of two written or scanned tables, whose hot keys Spark
@@ -35,7 +38,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import let, materialize, text_of, with_results, words_of
+from tandem.llm.common import hash128, let, materialize, text_of, with_results, words_of
 
 WINDOW = 20
 
@@ -99,8 +102,8 @@ def covered(starts: Column, window: int) -> Column:
 def window_hashes(words: Column, starts: Column, window: int) -> Column:
     """Structs (h1, h2, i) of the windows at ``starts``, the first of equal ones only."""
 
-    def hashed(i: Column) -> Column:
-        return F.struct(F.xxhash64(F.slice(words, i + 1, window)).alias("h1"), F.hash(F.slice(words, i + 1, window)).alias("h2"), i.alias("i"))
+    def hashed(own: Column) -> Column:
+        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(own, i + 1, window)).alias("h1"), F.hash(F.slice(own, i + 1, window)).alias("h2"), i.alias("i")))
 
     def first(ws: Column) -> Column:
         def of_sorted(s: Column) -> Column:
@@ -109,7 +112,14 @@ def window_hashes(words: Column, starts: Column, window: int) -> Column:
         distinct = F.size(F.array_distinct(F.transform(ws, lambda x: x["h1"]))) == F.size(ws)
         return F.when(distinct, ws).otherwise(let(F.array_sort(ws), of_sorted))
 
-    return let(F.transform(starts, hashed), first)
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), hashed), first)
+
+
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(k): documents whose whole text is that of a document with a smaller id."""
+    hashed = rows.select("k", *(h.alias(f"h{i}") for i, h in enumerate(hash128(F.col("t")))))
+    first = materialize(hashed.groupBy("h0", "h1").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last"))
+    return materialize(hashed.join(first, ["h0", "h1"]).where("k > first").select("k").distinct())
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -134,6 +144,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     places = materialize(placed.groupBy(*named("p")).agg(F.collect_list("p").alias("places")))
 
     near = rows.select(*own, "t").join(places, same("", "p"))
+    copies = later_copies(rows) if by_id else None
+    if copies is not None:
+        near = near.join(copies, "k", "left_anti")
     windows = let(words_of(F.col("t")), lambda w: let(starts_near(F.col("places"), F.size(w), window, size), lambda starts: window_hashes(w, starts, window)))
     seen = near.select(*own, F.explode(windows).alias("w")).select(*own, "w.*").groupBy("h1", "h2")
     if by_id:
@@ -143,13 +156,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     firsts = materialize(first.groupBy(*named("f")).agg(F.collect_list("i").alias("firsts")))
 
     marks = places.join(firsts, same("p", "f"), "left").drop(*("f" + c for c in own))
+    copied = F.lit(False)
+    if copies is not None:
+        marks = marks.join(copies.select(F.col("k").alias("ck"), F.lit(True).alias("copy")), F.col("pk") == F.col("ck"), "left").drop("ck")
+        copied = F.coalesce("copy", F.lit(False))
     joined = rows.join(marks, same("", "p"), "left")
 
     def judged(w: Column) -> Column:
         n = F.size(w)
         starts = starts_near(F.col("places"), n, window, size)
         later = F.when(F.col("firsts").isNull(), starts).otherwise(F.array_except(starts, F.col("firsts")))
-        gone = F.when(F.col("places").isNull() | (n < window), F.array().cast("array<int>")).otherwise(covered(later, window))
+        none = F.array().cast("array<int>")
+        gone = F.when(F.col("places").isNull() | (n < window), none).when(copied, F.sequence(F.lit(0), n - 1)).otherwise(covered(later, window))
 
         def result(x: Column) -> Column:
             stay = F.array_except(F.sequence(F.lit(0), n - 1), x)
