@@ -133,6 +133,12 @@ def neighbours(omitted: DataFrame, sentences: DataFrame, pairs: DataFrame) -> Da
     return placed[0].unionByName(placed[1])
 
 
+def full_text(sentences: DataFrame, chars: int = 16_000) -> DataFrame:
+    """(run_id, slot, text): the sentences of a document in order, cut after ``chars``: what an omission is looked for in."""
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_n", "text"))), lambda x: x["text"]), "\n")
+    return sentences.groupBy("run_id", "slot").agg(F.substring(listed, 1, chars).alias("text"))
+
+
 def omission_findings(judgments: DataFrame, omitted: DataFrame, near: DataFrame) -> DataFrame:
     """Omissions that were judged and are not present elsewhere; the own side is marked whole, the other is its neighbour.
 

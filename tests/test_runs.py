@@ -52,6 +52,18 @@ def test_escalation_and_wording(spark):
     assert got["p_001"].confidence == 0.83 and got["p_001"].status == "unreviewed"
 
 
+def test_fallback(spark):
+    rows = [finding(1, "WORDING", pair="p_001"), finding(2, "WORDING", pair="p_001"), finding(3, "NUMBER_MISMATCH", pair="p_002"), finding(4, "ODD", pair="p_001")]
+    made = classify.fallback_classify(spark.createDataFrame(rows, FINDINGS).withColumn("sentence_id", F.lit(None).cast("string"))).orderBy("id").collect()
+    assert [(r.id, r.type, r.severity) for r in made] == [("f_001", "NUMBER_MISMATCH", "Critical"), ("f_002", "ODD", "Cosmetic"), ("f_003", "WORDING", "Cosmetic")]
+
+
+def test_full_text(spark):
+    rows = [("r", "en", n, f"Sentence {n}.") for n in (2, 1, 3)]
+    made = judge.full_text(spark.createDataFrame(rows, "run_id string, slot string, s_n int, text string"), chars=20)
+    assert made.first().text == "Sentence 1.\nSentence"
+
+
 def test_order_of_input_rows_does_not_matter(spark):
     rows = [finding(n, k, pair=f"p_{n % 4:03d}") for n, k in enumerate(["WORDING", "MEANING_SHIFT", "HEDGE_CHANGE"] * 5)]
     assert classified(spark, rows) == classified(spark, rows[::-1])
