@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import ArrowUDFType
 
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 8000
@@ -218,4 +217,4 @@ def classify(docs: DataFrame, model: Model, text: str = "text", score: str = "sc
         for texts in batches:
             yield pa.array((model.score(slots(t.as_py())) for t in texts), pa.float64(), size=len(texts))
 
-    return docs.withColumn(score, F.arrow_udf(scored, "double", ArrowUDFType.SCALAR_ITER)(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(score, F.arrow_udf(scored, "double")(F.coalesce(F.col(text), F.lit(""))))

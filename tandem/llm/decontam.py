@@ -220,5 +220,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows that leak no item, with their columns as they are."""
-    columns = [F.col(c) for c in docs.columns]
-    return with_leaks(docs, benchmark, text=text, leaks="__leaks", **options).where(F.size("__leaks") == 0).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("t"))
+    return with_leaks(rows, benchmark, text="t", **options).where(F.size("leaks") == 0).select("row.*")
