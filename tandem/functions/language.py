@@ -100,10 +100,9 @@ def modal_pattern(code: str) -> str:
 
 def sentences_latin(text: Column) -> Column:
     """Split at white space after . ! ? before a capital, bracket or quote, but not after an abbreviation."""
-    names = "|".join(a.replace(".", r"\.") for a in sorted(ABBREVIATIONS, key=len, reverse=True))
-    guarded = F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    guarded = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     for a in ABBREVIATIONS:
-        guarded = F.regexp_replace(guarded, a.replace(".", r"\.") + r"(?=(?U)\s)", a.replace(".", "\x00")) if names else guarded
+        guarded = F.regexp_replace(guarded, a.replace(".", r"\.") + r"(?=(?U)\s)", a.replace(".", "\x00"))
     parts = F.split(guarded, r"(?U)(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Þ(\"“«])", -1)
     cleaned = F.transform(parts, lambda p: F.regexp_replace(F.replace(p, F.lit("\x00"), F.lit(".")), r"(?U)^\s+|\s+$", ""))
     return F.filter(cleaned, lambda p: p != "")
