@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tandem.functions import lexicons as lx
 from tandem.functions.rx import let
 
-#: Character classes of the scripts.
+#: Character classes of the scripts.
 SCRIPTS = {
     "han": r"一-鿿㐀-䶿豈-﫿",
     "kana": r"぀-ヿ",
     "hangul": r"가-힯ᄀ-ᇿ㄰-㆏",
 }
-#: Words that end in a stop without ending a sentence.
+#: Words that end in a stop without ending a sentence.
 ABBREVIATIONS = ("No.", "Nos.", "Mr.", "Mrs.", "Ms.", "Dr.", "Ltd.", "Co.", "Inc.", "Corp.", "approx.", "e.g.", "i.e.", "etc.", "vs.", "St.", "Jr.")
 
 

@@ -57,7 +57,7 @@ def _dates(text: Column, pattern: str, read: Callable[[Column], Column]) -> Colu
 
 
 def _month_number(word: Column, code: str) -> Column:
-    names = F.create_map(*(F.lit(x) for pair in lx.months(code).items() for x in pair))
+    names = F.create_map(*(F.lit(x) for pair in lx.MONTHS[code].items() for x in pair))
     return F.coalesce(F.element_at(names, F.lower(word)), F.lit(0))
 
 
@@ -83,7 +83,7 @@ def _settled(parts: list[Column]) -> Column:
 
 
 def dates_en(text: Column) -> Column:
-    names = _alternation(w.title() for w in lx.months("en"))
+    names = _alternation(w.title() for w in lx.MONTHS["en"])
     dmy = rf"(?U)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({names})\.?,?\s+(\d{{4}})\b"
     mdy = rf"(?U)\b({names})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
     named = lambda p, y, m, d: lambda raw: iso(_int(group(raw, p, y)), _month_number(group(raw, p, m), "en"), _int(group(raw, p, d)))
@@ -91,7 +91,7 @@ def dates_en(text: Column) -> Column:
 
 
 def dates_locale(text: Column, code: str) -> Column:
-    names = _alternation(lx.months(code))
+    names = _alternation(lx.MONTHS[code])
     p = rf"(?iU)\b(\d{{1,2}})(?:er|re|e|º|ª|°|\.)?[{SP}]+(?:de[{SP}]+|d')?({names})\.?[{SP}]+(?:de[{SP}]+)?(\d{{4}})\b"
     named = _dates(text, p, lambda raw: iso(_int(group(raw, p, 3)), _month_number(group(raw, p, 2), code), _int(group(raw, p, 1))))
     return _settled([named, *(_dates(text, x, _parts(x, "dmy")) for x in (_SLASH, _DOTS, _DASHES)), _dates(text, _ISO, _parts(_ISO, "ymd"))])

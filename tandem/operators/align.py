@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 DOC = ("run_id", "slot")
 MAX_TERMS = 40
 
+#: Headings of definitions.
 DEFINITION_HEADINGS = "DEFINITION|INTERPRETATION|釋義|释义|定義|定义|詞彙|词汇|DÉFINITION|BEGRIFFSBESTIMMUNG|DEFINIZIONI|DEFINICIONES|DEFINIÇÕES|DEFINITIES"
 #: How a document introduces a defined term.
 TERM_PATTERNS = (

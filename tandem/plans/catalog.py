@@ -53,7 +53,7 @@ def amount(value: Column, code: str) -> Column:
 
 def day(ts: Column, code: str) -> Column:
     names: dict[int, str] = {}
-    for word, n in lx.months(code).items():
+    for word, n in lx.MONTHS[code].items():
         names.setdefault(n, word)
     month = F.element_at(F.array(*(F.lit(names[n].title() if code in ("en", "de") else names[n]) for n in range(1, 13))), F.month(ts))
     d, y = F.dayofmonth(ts).cast("string"), F.year(ts).cast("string")
