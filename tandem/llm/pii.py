@@ -183,3 +183,72 @@ def span_text(spans: Column) -> Column:
 
 def kind_count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_ACCEPTED = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: NOT regexp_full_match(p, '0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})'))) = 0",
+    "card": """length(d) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN j % 2 = 1 THEN d[length(d) + 1 - j]::INT
+      WHEN d[length(d) + 1 - j]::INT > 4 THEN 2 * d[length(d) + 1 - j]::INT - 9 ELSE 2 * d[length(d) + 1 - j]::INT END)) % 10 = 0""",
+    "phone": "length(d) BETWEEN 8 AND 15",
+}
+
+
+def _placed_sql(source: str, keys: str, text: str, pattern: str) -> str:
+    """DuckDB: keys, m, s, e of the matches in a text; places by the lengths of what lies before."""
+    return f"""SELECT {keys}, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s,
+    list_sum(list_transform(gs[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))) AS e
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT *, regexp_extract_all({text}, '{pattern}') AS ms, regexp_split_to_array({text}, '{pattern}') AS gs FROM {source}) WHERE len(ms) > 0)"""
+
+
+def _kind_sql(n: int, kind: str) -> str:
+    return f"""SELECT doc_id, text, '{kind}' AS kind, {n} AS ord, s, e, m AS value FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM ({_placed_sql('base', 'doc_id, text', 'text', _PLAIN[kind])})) WHERE {_ACCEPTED[kind]}"""
+
+
+_LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: DuckDB: the contract's digest of ``find_spans``, with the terms.
+PII_SQL = f"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), spans AS (
+  {" UNION ALL ".join(_kind_sql(n, kind) for n, kind in enumerate(KINDS))}
+), near AS (
+  SELECT doc_id, kind || ':' || value AS entity, s AS at, e AS stop, greatest(s - {CONTEXT}, 0) AS low, length(text) AS size,
+         text[greatest(s - {CONTEXT}, 0) + 1:s] AS before, text[e + 1:e + {CONTEXT}] AS behind FROM spans
+), tokens AS (
+  SELECT doc_id, entity, before, behind, {_LOWER_SQL.format('m')} AS term, low + s AS s, low + e AS e
+  FROM ({_placed_sql('near', 'doc_id, entity, before, behind, low', 'before', '[\\p{L}\\p{N}]+')}) WHERE s > 0 OR low = 0
+  UNION ALL
+  SELECT doc_id, entity, before, behind, {_LOWER_SQL.format('m')} AS term, stop + s AS s, stop + e AS e
+  FROM ({_placed_sql('near', 'doc_id, entity, before, behind, stop, size', 'behind', '[\\p{L}\\p{N}]+')}) WHERE e < {CONTEXT} OR stop + e = size
+), clear AS (
+  SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM spans x WHERE x.doc_id = t.doc_id AND t.s < x.e AND t.e > x.s)
+), pairs AS (
+  SELECT entity, term, count(DISTINCT (before, behind)) AS nct FROM clear GROUP BY ALL HAVING count(DISTINCT (before, behind)) >= {SUPPORT}
+), entities AS (
+  SELECT entity, count(DISTINCT (before, behind)) AS nc FROM near GROUP BY entity
+), frequencies AS (
+  SELECT term, count(DISTINCT doc_id) AS nt FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_LOWER_SQL.format('text')}, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM base) WHERE term IN (SELECT term FROM pairs) GROUP BY term
+), n AS (
+  SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM base
+), telling AS (
+  SELECT entity, term FROM pairs JOIN entities USING (entity) JOIN frequencies USING (term), n
+  WHERE n > nc AND log2(n * nct / (nc * greatest(nt, nct))) >= log2(n / nc) / {ALPHA}
+), every AS (
+  SELECT doc_id, kind, ord, s, e FROM spans
+  UNION ALL
+  SELECT DISTINCT doc_id, '{TERM}', {len(KINDS)}, s, e FROM clear JOIN telling USING (entity, term)
+), summed AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in KINDS)},
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s, e) FILTER (WHERE ord < {len(KINDS)}) AS own, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s, e) AS spans
+  FROM every GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM base LEFT JOIN summed USING (doc_id)
+"""

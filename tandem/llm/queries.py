@@ -97,5 +97,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash.NEAR_SQL,
     "op2_quality_rules": quality_rules.RULES_SQL,
     "op3_substring_dedup": substring.REPEATS_SQL,
+    "op5_pii": pii.PII_SQL,
     "op6_line_dedup": lines.LINES_SQL,
 }

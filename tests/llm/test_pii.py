@@ -73,3 +73,19 @@ def test_odd_rows(spark):
     assert got == sorted(map(str, want))
     assert pii.sanitise(docs.limit(0)).count() == 0 and pii.find_spans(docs.limit(0)).count() == 0
     assert "Python" not in pii.find_spans(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_has_the_same_terms(spark):
+    import duckdb
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    texts = [t for t in revealing() + FIXED if t is None or len(t) < 5000]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", frame)
+    want = con.sql(pii.PII_SQL).df().sort_values("doc_id")
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = found.select("doc_id", pii.span_text(F.col("spans")).alias("spans")).orderBy("doc_id").collect()
+    assert [r.spans for r in got] == want["spans"].tolist()
+    assert sum("term" in r.spans for r in got) == 12
