@@ -31,8 +31,8 @@ def script_counts(text: Column) -> dict[str, Column]:
 
 def stopword_hits(words: Column, code: str) -> Column:
     """Words of the array that are function words of the language."""
-    known = F.array(*(F.lit(w) for w in dict.fromkeys(lx.STOPWORDS[code].split())))
-    return F.size(F.filter(words, lambda w: F.array_contains(known, w)))
+    known = list(dict.fromkeys(lx.STOPWORDS[code].split()))
+    return F.size(F.filter(words, lambda w: w.isin(*known)))  # a hash set: the list is long
 
 
 def _language(code: str, name: str, script: str) -> Column:
@@ -49,12 +49,17 @@ def detect_language(text: Column) -> Column:
     """
     unknown = _language("und", "Unknown", "Zyyy")
 
+    any_of_them = sorted({w for ws in lx.STOPWORDS.values() for w in ws.split()})
+
     def of_words(words: Column) -> Column:
-        scores = F.array(*(F.struct(stopword_hits(words, c).alias("n"), F.lit(c).alias("c")) for c in lx.STOPWORDS))
+        return let(F.filter(words, lambda w: w.isin(*any_of_them)), lambda hits: of_hits(hits, F.size(words)))
+
+    def of_hits(hits: Column, n_words: Column) -> Column:
+        scores = F.array(*(F.struct(stopword_hits(hits, c).alias("n"), F.lit(c).alias("c")) for c in lx.STOPWORDS))
 
         def best(ranked: Column) -> Column:
             top, second = F.get(ranked, 0), F.get(ranked, 1)
-            sure = (top["n"] >= 3) & (top["n"] >= 0.05 * F.size(words)) & (top["n"] >= 1.2 * second["n"])
+            sure = (top["n"] >= 3) & (top["n"] >= 0.05 * n_words) & (top["n"] >= 1.2 * second["n"])
             names = F.create_map(*(F.lit(x) for c in lx.STOPWORDS for x in (c, lx.LANGUAGE_NAMES[c])))
             return F.when(sure, F.struct(top["c"].alias("code"), F.element_at(names, top["c"]).alias("name"), F.lit("Latn").alias("script"))).otherwise(unknown)
 

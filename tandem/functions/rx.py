@@ -30,17 +30,21 @@ def find_all(text: Column, pattern: str) -> Column:
     by their lengths.  The pattern must not match the empty text.
     """
 
-    def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            raw = F.get(x["m"], i)
-            s = acc["at"] + F.length(F.get(x["g"], i))
-            e = s + F.length(raw)
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), raw.alias("raw")))).alias("out"))
+    def placed(m: Column) -> Column:
+        def with_gaps(g: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                raw = F.get(m, i)
+                s = acc["at"] + F.length(F.get(g, i))
+                e = s + F.length(raw)
+                return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), raw.alias("raw")))).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out"))
-        return F.when(F.size(x["m"]) == 0, empty(MATCH)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), zero, step, lambda a: a["out"]))
+            zero = F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda a: a["out"])
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), placed)
+        # most patterns find nothing: the text is split only for those that do
+        return F.when(F.size(m) == 0, empty(MATCH)).otherwise(let(F.split(text, pattern, -1), with_gaps))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def group(raw: Column, pattern: str, index: int) -> Column:

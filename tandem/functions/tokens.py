@@ -136,8 +136,13 @@ def dates_zh(text: Column) -> Column:
 
 
 def dates(text: Column, code: Column | str) -> Column:
-    rules = {c: (lambda c=c: dates_locale(text, c)) for c in lx.LOCALES} | {c: (lambda: dates_zh(text)) for c in ("zh", "ja")}
-    return dispatch(code, rules, lambda: dates_en(text))
+    def if_any(hint: str, found: Column) -> Column:
+        """Every date has a year in digits, or the sign for years: one cheap test before all patterns."""
+        return F.when(text.rlike(hint), found).otherwise(empty(DATE))
+
+    year = r"(?U)\d{4}"
+    rules = {c: (lambda c=c: if_any(year, dates_locale(text, c))) for c in lx.LOCALES} | {c: (lambda: if_any("年", dates_zh(text))) for c in ("zh", "ja")}
+    return dispatch(code, rules, lambda: if_any(year, dates_en(text)))
 
 
 # -- currencies ----------------------------------------------------------------
@@ -148,7 +153,8 @@ def currencies(text: Column, code: Column | str) -> Column:
         parts = []
         for cur, pattern in lx.CURRENCIES[name].items():
             parts.append(F.transform(find_all(text, f"(?iU){pattern}"), _tagged(cur)))
-        return by_span(F.concat(*parts))
+        some = text.rlike("(?iU)" + "|".join(f"(?:{p})" for p in lx.CURRENCIES[name].values()))
+        return F.when(some, by_span(F.concat(*parts))).otherwise(empty(CURRENCY))
 
     return dispatch(code, {c: (lambda c=c: table(c)) for c in ("en", "zh", "ja")}, lambda: table("latin"))
 
@@ -228,7 +234,7 @@ def _latin_numbers(text: Column, spans: Column, code: str) -> Column:
         found = F.transform(F.filter(F.transform(find_all(src, p), read), keep), token)
         return F.filter(found, lambda n: n["value"].isNotNull())
 
-    return let(masked(text, spans), numbers)
+    return F.when(text.rlike(r"(?U)\d"), let(masked(text, spans), numbers)).otherwise(empty(NUMBER))
 
 
 def _zh_numbers(text: Column, spans: Column) -> Column:

@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return read.select(*columns) if columns else read
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a small file would keep few of them busy; larger inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # -- rendering -------------------------------------------------------------------
 
 
@@ -74,7 +80,7 @@ def sentence(frame: tuple[str, str], middle: Column) -> Column:
 
 def _number_query(code: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", sentence(PRICE[code], amount(F.col("o_totalprice"), code)).alias("text"))
+        text = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")).select("o_orderkey", sentence(PRICE[code], amount(F.col("o_totalprice"), code)).alias("text"))
         found = text.select("o_orderkey", F.explode(tk.numbers(F.col("text"), code, tk.none_of(tk.DATE))).alias("n"))
         return found.select("o_orderkey", F.round("n.value", 2).alias("value"), F.col("n.kind").alias("kind"), F.col("n.currency").alias("currency"))
 
@@ -83,7 +89,7 @@ def _number_query(code: str) -> Query:
 
 def _date_query(code: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", sentence(DAY[code], day(F.col("o_orderdate"), code)).alias("text"))
+        text = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")).select("o_orderkey", sentence(DAY[code], day(F.col("o_orderdate"), code)).alias("text"))
         return text.select("o_orderkey", F.explode(tk.dates(F.col("text"), code)).alias("d")).select("o_orderkey", F.col("d.iso").alias("iso"))
 
     return run
@@ -101,7 +107,7 @@ for _code in ("en", "fr", "de", "es"):
 def number_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders priced in English and German, every 97th with another amount: the findings."""
     planted = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 10.5).otherwise(F.col("o_totalprice"))
-    texts = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", sentence(PRICE["en"], amount(F.col("o_totalprice"), "en")).alias("a"), sentence(PRICE["de"], amount(planted, "de")).alias("b"))
+    texts = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")).select("o_orderkey", sentence(PRICE["en"], amount(F.col("o_totalprice"), "en")).alias("a"), sentence(PRICE["de"], amount(planted, "de")).alias("b"))
     found = texts.select("o_orderkey", F.explode(checks.check_pair(F.col("a"), F.col("b"), "en", "de", F.lit("English"), F.lit("German"))).alias("f"))
     return found.select("o_orderkey", F.col("f.type").alias("type"), (F.size("f.en_span") - 1).alias("n_spans"))
 
@@ -113,7 +119,7 @@ def number_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders dated in English and French, every 89th a day later."""
     planted = F.when(F.col("o_orderkey") % 89 == 0, F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("o_orderdate"))
-    texts = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", sentence(DAY["en"], day(F.col("o_orderdate"), "en")).alias("a"), sentence(DAY["fr"], day(planted, "fr")).alias("b"))
+    texts = spread(table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")).select("o_orderkey", sentence(DAY["en"], day(F.col("o_orderdate"), "en")).alias("a"), sentence(DAY["fr"], day(planted, "fr")).alias("b"))
     found = texts.select("o_orderkey", F.explode(checks.check_pair(F.col("a"), F.col("b"), "en", "fr", F.lit("English"), F.lit("French"))).alias("f"))
     return found.select("o_orderkey", F.col("f.type").alias("type"), F.col("f.explanation").alias("explanation"))
 
@@ -132,7 +138,7 @@ def currency_mismatch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.array(*map(F.lit, _CODES))
     shifted = F.col("c_nationkey") + F.when(F.col("c_custkey") % 11 == 0, 1).otherwise(0)
     of = lambda n: F.get(codes, (n % 5).cast("int"))
-    texts = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select("c_custkey", F.concat(F.lit("The account is kept in "), of(F.col("c_nationkey")), F.lit(" only.")).alias("a"), F.concat(F.lit("La cuenta se lleva en "), of(shifted), F.lit(" solamente.")).alias("b"))
+    texts = spread(table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")).select("c_custkey", F.concat(F.lit("The account is kept in "), of(F.col("c_nationkey")), F.lit(" only.")).alias("a"), F.concat(F.lit("La cuenta se lleva en "), of(shifted), F.lit(" solamente.")).alias("b"))
     found = texts.select("c_custkey", F.explode(checks.check_pair(F.col("a"), F.col("b"), "en", "es", F.lit("English"), F.lit("Spanish"))).alias("f"))
     return found.select("c_custkey", F.col("f.explanation").alias("explanation"))
 
@@ -179,7 +185,7 @@ SELECT doc_id, CASE WHEN r[1] < 3 OR r[1] < 0.05 * n OR r[1] < 1.2 * r[2] THEN '
 )
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by its function words."""
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", lg.detect_language(F.col("text"))["code"].alias("code"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", lg.detect_language(F.col("text"))["code"].alias("code"))
 
 
 @query(
@@ -190,7 +196,7 @@ SELECT lang, CASE WHEN r[1] < 3 OR r[1] < 0.05 * n OR r[1] < 1.2 * r[2] THEN 'un
 )
 def lang_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by given and detected language."""
-    found = table(spark, sf_dir, "documents", "lang", "text").select("lang", lg.detect_language(F.col("text"))["code"].alias("code"))
+    found = spread(table(spark, sf_dir, "documents", "lang", "text")).select("lang", lg.detect_language(F.col("text"))["code"].alias("code"))
     return found.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -208,7 +214,7 @@ for _a in lg.ABBREVIATIONS:
 @query("sentence_split_counts", rf"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split(regexp_replace({_GUARDED_SQL}, '([.!?])\s+([A-ZÀ-ÖØ-Þ("“«])', '\1<SEP>\2', 'g'), '<SEP>')) END AS n_sentences FROM documents""")
 def sentence_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of every document."""
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(lg.sentences(F.col("text"), False)).cast("bigint").alias("n_sentences"))
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.size(lg.sentences(F.col("text"), False)).cast("bigint").alias("n_sentences"))
 
 
 @query("repeated_lines", "SELECT line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) <= 120 GROUP BY line HAVING count(DISTINCT doc_id) >= 3")
