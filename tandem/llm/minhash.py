@@ -21,10 +21,8 @@
    in blocks of bounded size, by an upper bound of their similarity from 16 bits
    of each shingle.  Pairs whose bound reaches the threshold are verified; of a
    document and a component that it is all but sure to be linked with, the three
-   most similar members.  Buckets beyond ``LARGE`` members are split by each later band
-   instead (two similar documents share many bands, not one) and go through 4
-   and 5 again.  As bands are only combined in their order, this ends with the
-   last one.
+   most similar members.  Buckets beyond ``LARGE`` members are compared in the
+   same way after all others, whose links leave fewer members outside.
 
 No bucket is capped and no pair is skipped that could be a link.  Hot buckets
 cost one pair for each member; every count and minimum is combined before it is
@@ -61,7 +59,7 @@ MANTISSA = 10
 #: Pairs at the threshold that banding may lose.
 LOSS = 1e-6
 
-#: Members of a bucket whose estimates are compared without splitting it first.
+#: Buckets of more members are compared after the others.
 LARGE = 20_000
 
 #: A similarity bound this far above the threshold is a link but for freak collisions ...
@@ -360,6 +358,11 @@ class _Links:
         groups = outer.union(inner).groupBy("bucket", "i", "j").agg(F.collect_list(row).alias("group")).select("group")
         return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
+    def settle(self, members: DataFrame, mixed: DataFrame) -> None:
+        """Find the links across components within the mixed buckets."""
+        if not mixed.isEmpty():
+            self.test(self.across(members, mixed), estimate=False)
+
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row; links have at least ``percent`` % of their union in common."""
@@ -373,19 +376,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * step + 1, F.lit(step))))
     banded = nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
 
-    links, members = _Links(docs, nodes, signed.select(F.col("k").alias("node"), "prints"), key, text, shingle_words, percent), banded
-    while True:
-        links.test(links.stars(members))
-        mixed = links.mixed(members)
-        small = mixed.where(F.col("c") <= LARGE)
-        if not small.isEmpty():
-            links.test(links.across(members, small), estimate=False)
-        large = mixed.where(F.col("c") > LARGE).select("bucket")
-        if large.isEmpty():
-            break
-        later = banded.select("node", F.col("band").alias("next"), F.col("bucket").alias("key"))
-        split = members.join(large, "bucket").join(later, "node").where("next > band")
-        members = materialize(split.select("node", F.col("next").alias("band"), F.xxhash64("bucket", "key").alias("bucket")))
+    links = _Links(docs, nodes, signed.select(F.col("k").alias("node"), "prints"), key, text, shingle_words, percent)
+    links.test(links.stars(banded))
+    mixed = links.mixed(banded)
+    links.settle(banded, mixed.where(F.col("c") <= LARGE))
+    large = mixed.where(F.col("c") > LARGE).select("bucket")
+    if not large.isEmpty():
+        hot = materialize(banded.join(large, "bucket"))
+        links.settle(hot, links.mixed(hot))
 
     component = sets.select("set_key", "node").join(links.labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("c"))
     component = materialize(component)

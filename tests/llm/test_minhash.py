@@ -91,6 +91,26 @@ def test_split_buckets_lose_nothing(spark, monkeypatch):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs, 3, 85)
 
 
+def one_bucket(monkeypatch, docs, size):
+    """All documents in a single bucket: one band, of a register that they share."""
+    registers = np.array([minhash.registers(minhash.shingle_set(t, size)) for _, t in docs])
+    shared = np.flatnonzero((registers == registers[0]).all(0))
+    assert shared[0] == 0
+    monkeypatch.setattr(minhash, "band_shape", lambda percent: (1, 1))
+
+
+def test_large_bucket_keeps_the_links_of_an_outsider(spark, monkeypatch):
+    """A group far above LARGE, and a document that reaches the threshold only with one that is not the group's smallest."""
+    monkeypatch.setattr(minhash, "LARGE", 3)
+    base = [f"b6.{i}" for i in range(93)]
+    docs = [(i, " ".join([*base, *(f"g{i}.{j}" for j in range(5))])) for i in range(30)]
+    docs += [(30 + n, " ".join([*base, *(f"u{j}" for j in range(own))])) for n, own in enumerate((8, 14))]
+    one_bucket(monkeypatch, docs, 1)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=1, percent=85).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs, 1, 85)
+    assert {r.component_id for r in got} == {0}
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(4)
     for n, t in ((60, 0.9), (1000, 0.85), (20_000, 0.5), (5000, 0.0)):
