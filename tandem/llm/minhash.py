@@ -21,7 +21,7 @@
    in blocks of bounded size, by an upper bound of their similarity from 16 bits
    of each shingle.  Pairs whose bound reaches the threshold are verified; of a
    document and a component that it is all but sure to be linked with, the three
-   most similar members.  Buckets beyond ``LARGE`` members are compared in the
+   most similar members first, and all others if these leave them apart.  Buckets beyond ``LARGE`` members are compared in the
    same way after all others, whose links leave fewer members outside.
 
 No bucket is capped and no pair is skipped that could be a link.  Hot buckets
@@ -71,6 +71,9 @@ SURE = 2048
 #: Texts whose sets are in memory at once.
 ROWS = 512
 
+#: Pairs in memory before they are passed on.
+PAIRS = 100_000
+
 #: Rows that one comparison takes: members outside the main component, and members.
 BLOCK = (256, 2048)
 
@@ -190,7 +193,7 @@ def plausible(estimate: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int,
 
 
 def chosen(bound: np.ndarray, label: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """Which of the near members to verify: the three best of a component that is sure, all others."""
+    """Which of the near members to verify first: the three best of a component that is sure, all others."""
     order = np.argsort(-bound, kind="stable")
     sure = np.unique(label[bound >= percent / 100 + MARGIN]) if size <= SURE else label[:0]
     rest = order[np.isin(label[order], sure)]
@@ -313,13 +316,29 @@ class _Links:
         summed = seen.groupBy("bucket").agg(F.sum("n").alias("c"), largest, F.max("n").alias("most"))
         return materialize(summed.where("c > 2 and most < c").select("bucket", "c", "main", (F.col("c") - F.col("most")).alias("r")))
 
-    def across(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
-        """(a, b) across components within the buckets: pairs that have a chance.
-
-        Blocks of members outside the main component meet blocks of all members.
+    def outside(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """(bucket, node, c, r, label, outer): members of mixed buckets; those outside the main component are outer."""
+        return self.labelled(members).join(buckets, "bucket").withColumn("outer", F.col("label") != F.col("main")).drop("main")
+
+    def left_apart(self, members: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The same of the buckets with a document that is still apart from a component of which only the best members were verified."""
+        of_a, of_b = (self.labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b"))
+        named = pairs.where(F.col("more").isNotNull()).join(of_a, "a", "left").join(of_b, "b", "left")
+        apart = named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(F.col("more").alias("node"), F.lit(True).alias("outer")).distinct()
+        apart = materialize(apart)
+        buckets = materialize(members.join(apart, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("r")))
+        sized = materialize(members.join(buckets, "bucket").groupBy("bucket", "r").agg(F.count(F.lit(1)).alias("c")).where("c > 2"))
+        return self.labelled(members).join(sized, "bucket").join(apart, "node", "left").withColumn("outer", F.coalesce("outer", F.lit(False)))
+
+    def across(self, mine: DataFrame, best: bool) -> DataFrame:
+        """(a, b, more) across components within buckets: pairs that have a chance.
+
+        Blocks of outer members meet blocks of all members.  With ``best``, of the
+        members of a component that is all but sure only three are taken; ``more``
+        is the outer one where that left some out.
         """
         kind = self.nodes.schema["node"].dataType.simpleString()
-        types = [to_arrow_type(self.nodes.schema["node"].dataType)] * 2
+        types = [to_arrow_type(self.nodes.schema["node"].dataType)] * 3
         percent = self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,27 +360,39 @@ class _Links:
                         bound[(label[inner] == label[u])] = 0
                         near = np.flatnonzero(100 * bound >= percent - 1e-9)
                         if len(near):
-                            near = near[chosen(bound[near], label[inner[near]], len(own_prints[u]), percent)]
-                            found += [(max(node[u], m), min(node[u], m)) for m in node[inner[near]]]
+                            of = label[inner[near]]
+                            take = chosen(bound[near], of, len(own_prints[u]), percent) if best else np.arange(len(near))
+                            short = set(np.delete(of, take).tolist())
+                            found += [(max(node[u], m), min(node[u], m), node[u] if x in short else None) for m, x in zip(node[inner[near[take]]], of[take].tolist(), strict=True)]
+                    if len(found) > PAIRS:
+                        yield pairs_batch(found)
+                        found = []
                 if found:
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, types[0]), pa.array(b, types[1])], names=["a", "b"])
+                    yield pairs_batch(found)
+
+        def pairs_batch(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), types, strict=True)], names=["a", "b", "more"])
 
         block = lambda column, count, size: F.pmod(F.xxhash64(column, F.lit(size)), F.ceil(count / size)).cast("int")
         every = lambda count, size: F.explode(F.sequence(F.lit(0), (F.ceil(count / size) - 1).cast("int")))
-        mine = materialize(self.labelled(members).join(buckets, "bucket"))
+        mine = materialize(mine)
         fine = materialize(self.fine.join(wanted(mine, "node"), "node", "left_semi"))
         rows = mine.join(fine, "node").where(F.col("prints").isNotNull())
         row = F.struct("node", "label", "prints", "outer")
-        outer = rows.where(F.col("label") != F.col("main")).select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(True).alias("outer"))
+        outer = rows.where("outer").select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(True).alias("outer"))
         inner = rows.select("bucket", every(F.col("r"), BLOCK[0]).alias("i"), block("node", F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(False).alias("outer"))
         groups = outer.union(inner).groupBy("bucket", "i", "j").agg(F.collect_list(row).alias("group")).select("group")
-        return groups.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+        return groups.mapInArrow(run, f"a {kind}, b {kind}, more {kind}").distinct()
 
     def settle(self, members: DataFrame, mixed: DataFrame) -> None:
         """Find the links across components within the mixed buckets."""
-        if not mixed.isEmpty():
-            self.test(self.across(members, mixed), estimate=False)
+        if mixed.isEmpty():
+            return
+        pairs = materialize(self.across(self.outside(members, mixed), best=True))
+        self.test(pairs.select("a", "b").distinct(), estimate=False)
+        if not pairs.where(F.col("more").isNotNull()).isEmpty():
+            rest = self.across(self.left_apart(members, pairs), best=False)
+            self.test(rest.select("a", "b").distinct(), estimate=False)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -111,6 +111,19 @@ def test_large_bucket_keeps_the_links_of_an_outsider(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_members_that_collide_do_not_crowd_out_a_link(spark, monkeypatch):
+    """Three members of a component have the highest bounds by equal prints; the true link is a fourth one."""
+    p, q = "p60", "p205"
+    assert minhash.prints(minhash.shingle_set(p, 1)) == minhash.prints(minhash.shingle_set(q, 1))
+    base = [f"a{i}" for i in range(11)]
+    own = [["a", "b", q], [q, "a"], [q, "b"], [q], [p, "a", "b"], [p]]
+    docs = [(i, " ".join([*base, *x])) for i, x in enumerate(own)]
+    one_bucket(monkeypatch, docs, 1)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=1, percent=85).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs, 1, 85)
+    assert {r.component_id for r in got} == {0}
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(4)
     for n, t in ((60, 0.9), (1000, 0.85), (20_000, 0.5), (5000, 0.0)):
