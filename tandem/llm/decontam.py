@@ -19,8 +19,10 @@ in about 10 of 64 bits (deviation 3); a radius of 20 misses 1 in 5000 windows
 that are just at the threshold, and in practice none that is above it.
 
 The benchmark is a query set against all documents: it goes to the executors in
-blocks of at most ``BLOCK_ITEMS`` items, one pass over the documents each.  No
-shuffle; every document is judged where it is read.
+blocks of at most ``BLOCK_ITEMS`` items, one pass over the documents each.
+Words are numbered and shingles counted over all items once; every block gets
+these (``Shared``), so that weights and results are the same for any number of
+blocks.  No shuffle; every document is judged where it is read.
 
 Defined results: null and empty texts and items leak nothing and match nothing;
 an item of fewer than ``SHINGLE`` words is one shingle, so only the same words
@@ -37,6 +39,7 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,27 +73,59 @@ def _pack(votes: np.ndarray) -> np.ndarray:
     return ((votes > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
 
 
+class Shared:
+    """What weights depend on: the words of all items and how many items hold each of their shingles."""
+
+    def __init__(self, blocks: list[list[tuple[object, str]]]) -> None:
+        self.vocabulary: dict[str, int] = {}
+        self.total = 0
+        self.known, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for items in blocks:
+            found = []
+            for _, t in items:
+                if ws := words(t or ""):
+                    for w in ws:
+                        self.vocabulary.setdefault(w, len(self.vocabulary))
+                    numbers = np.fromiter(map(self.vocabulary.__getitem__, ws), np.int64, len(ws))
+                    found.append(np.unique(shingles(numbers, min(SHINGLE, len(ws)))))
+            self.total += len(found)
+            known, at = np.unique(np.concatenate([self.known, *found]), return_inverse=True)
+            counts = np.concatenate([self.held, np.ones(len(at) - len(self.held), np.int64)])
+            self.known, self.held = known, np.bincount(at, counts, len(known)).astype(np.int64)
+
+
+def shingles(numbers: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` word numbers."""
+    if len(numbers) < size:
+        return np.zeros(0, np.uint64)
+    h = np.full(len(numbers) - size + 1, np.uint64(size))
+    for i in range(size):
+        h = _mix(h * _ODD + numbers[i : len(numbers) - size + 1 + i].astype(np.uint64))
+    return h
+
+
 class Items:
     """The query set of one block, ready to judge documents."""
 
-    def __init__(self, items: list[tuple[object, str]], threshold: float, radius: int) -> None:
+    def __init__(self, items: list[tuple[object, str]], threshold: float, radius: int, shared: Shared | None = None) -> None:
         self.threshold, self.radius = threshold, radius
+        shared = shared or Shared([items])
         split = [(i, w) for i, t in items if (w := words(t or ""))]
         self.ids = [i for i, _ in split]
-        self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for _, ws in split for w in ws))}
+        self.vocabulary = shared.vocabulary
         self.lengths = np.array([len(ws) for _, ws in split], np.int64)
         # a word that no item holds has number len(vocabulary): shingles with it are never an item's
-        shingles = [self.shingles(self.numbers(ws), min(SHINGLE, len(ws))) for _, ws in split]
-        held = Counter(int(h) for s in shingles for h in np.unique(s))
-        self.top = log(1 + len(split)) if split else 1.0
-        self.known = np.array(sorted(held), np.uint64)
-        self.weight = np.array([log(1 + len(split) / held[int(h)]) for h in self.known])
-        self.bags = [Counter(s.tolist()) for s in shingles]
+        hashed = [shingles(self.numbers(ws), min(SHINGLE, len(ws))) for _, ws in split]
+        self.top = log(1 + shared.total) if shared.total else 1.0
+        self.known = shared.known
+        self.weight = np.array([log(1 + shared.total / n) for n in shared.held.tolist()])
+        self.own = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed]))
+        self.bags = [Counter(s.tolist()) for s in hashed]
         self.of_shingle: dict[int, list[int]] = defaultdict(list)
         for n, bag in enumerate(self.bags):
             for h in bag:
                 self.of_shingle[h].append(n)
-        prints = [int(_pack(_spread(s, self.weights(s)).sum(0)[None])[0]) for s in shingles]
+        prints = [int(_pack(_spread(s, self.weights(s)).sum(0)[None])[0]) for s in hashed]
         self.prints = np.array(prints, np.uint64)
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
@@ -102,15 +137,6 @@ class Items:
     def numbers(self, ws: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, ws, repeat(len(self.vocabulary))), np.int64, len(ws))
 
-    def shingles(self, numbers: np.ndarray, size: int) -> np.ndarray:
-        """Hash of each run of ``size`` word numbers."""
-        if len(numbers) < size:
-            return np.zeros(0, np.uint64)
-        h = np.full(len(numbers) - size + 1, np.uint64(size))
-        for i in range(size):
-            h = _mix(h * _ODD + numbers[i : len(numbers) - size + 1 + i].astype(np.uint64))
-        return h
-
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.full(len(hashes), self.top)
@@ -136,16 +162,16 @@ class Items:
             lengths = np.unique(self.lengths[np.minimum(self.lengths, SHINGLE) == size])
             if not len(lengths) or len(ws) < size:
                 continue
-            hashes = self.shingles(numbers, size)
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            hits = np.flatnonzero(self.known[at] == hashes)
+            hashes = shingles(numbers, size)
+            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+            hits = np.flatnonzero(self.own[at] == hashes)
             if not len(hits):
                 continue
             named = numbers.copy()
             seen: dict[str, int] = {}
             for i in outside.tolist():
                 named[i] = len(self.vocabulary) + seen.setdefault(ws[i], len(seen))
-            hashes = self.shingles(named, size)
+            hashes = shingles(named, size)
             places = defaultdict(list)
             for p in hits.tolist():
                 for n in self.of_shingle[int(hashes[p])]:
@@ -186,13 +212,13 @@ class Items:
                         best[n] = (s, start)
 
 
-def _leaks_column(text: Column, items: list[tuple[object, str]], item_type: pa.DataType, ddl: str, threshold: float, radius: int) -> Column:
+def _leaks_column(text: Column, items: list[tuple[object, str]], item_type: pa.DataType, ddl: str, threshold: float, radius: int, shared: Broadcast | None) -> Column:
     out = pa.list_(pa.struct([("item", item_type), ("similarity", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
     ready: list[Items] = []
 
     def judge(texts: pa.Array) -> pa.Array:
         if not ready:
-            ready.append(Items(items, threshold, radius))
+            ready.append(Items(items, threshold, radius, shared and shared.value))
         rows = ([{"item": i, "similarity": s, "first_word": a, "end_word": b} for i, s, a, b in ready[0].leaks(t.as_py() or "")] for t in texts)
         return pa.array(rows, out, size=len(texts))
 
@@ -205,10 +231,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     blocks = max(1, -(-known.count() // block_items))
     ddl = benchmark.schema[item].dataType.simpleString()
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ddl]
-    parts = []
-    for b in range(blocks):
-        block = known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i", "t").collect()
-        parts.append(_leaks_column(F.col(text), [tuple(r) for r in block], kind, ddl, threshold, radius))
+    split = [[tuple(r) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i", "t").collect()] for b in range(blocks)]
+    shared = docs.sparkSession.sparkContext.broadcast(Shared(split)) if blocks > 1 else None
+    parts = [_leaks_column(F.col(text), block, kind, ddl, threshold, radius, shared) for block in split]
     return docs.withColumn(leaks, F.concat(*parts) if len(parts) > 1 else parts[0])
 
 

@@ -63,6 +63,14 @@ def test_blocks_find_the_same_exact_copies(spark):
     assert whole == parts
 
 
+def test_blocks_give_the_same_rows(spark):
+    docs, items = fixture()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1, 4):
+        got = decontam.find_leaks(d, b, block_items=size).collect()
+        assert sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.end_word) for r in got) == sorted(brute(docs, items))
+
+
 def test_decontaminate_keeps_clean_rows_whole(spark):
     docs, items = fixture()
     frame = spark.createDataFrame([(d, t, "l", [1]) for d, t in docs], "doc_id long, text string, leaks string, similarity array<int>")
