@@ -2,7 +2,8 @@
 
 A document leaks an item if some run of as many words as the item has is at
 least ``threshold`` similar to it: weighted Jaccard similarity of the two bags
-of ``SHINGLE``-word shingles.  Words are the runs of letters and digits of the
+of ``SHINGLE``-word shingles.  A document of fewer words than the item is one
+window as a whole.  Words are the runs of letters and digits of the
 lower-cased text.  A shingle weighs log(1 + items / items that hold it), and
 one that no item holds weighs most.
 
@@ -178,16 +179,13 @@ class Items:
                     if min(SHINGLE, self.lengths[n]) == size:
                         places[int(self.lengths[n])].append(p)
             for length, near in places.items():
-                if length <= len(ws):
-                    found += self.windows(hashes, length, size, np.array(near))
+                found += self.windows(hashes, length, size, np.array(near))
         return found
 
     def windows(self, hashes: np.ndarray, length: int, size: int, near: np.ndarray) -> list[tuple[object, float, int, int]]:
-        """Judge every window of ``length`` words that holds one of the shingles at ``near``."""
-        span = length - size + 1
+        """Judge every window of ``length`` words, or all of a shorter document, that holds one of the shingles at ``near``."""
+        span = min(length - size + 1, len(hashes))
         last = len(hashes) - span
-        if last < 0:
-            return []
         inside = np.zeros(last + 2, np.int64)
         np.add.at(inside, np.clip(near - span + 1, 0, last + 1), 1)
         np.add.at(inside, np.clip(near + 1, 0, last + 1), -1)
@@ -196,7 +194,7 @@ class Items:
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
             for at in range(0, len(part), 4096):
                 self.judge(hashes, part[at : at + 4096], span, length, best)
-        return [(self.ids[n], s, p, p + length) for n, (s, p) in sorted(best.items())]
+        return [(self.ids[n], s, p, p + span + size - 1) for n, (s, p) in sorted(best.items())]
 
     def judge(self, hashes: np.ndarray, starts: np.ndarray, span: int, length: int, best: dict[int, tuple[float, int]]) -> None:
         low, high = int(starts[0]), int(starts[-1]) + span

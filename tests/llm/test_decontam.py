@@ -71,6 +71,14 @@ def test_blocks_give_the_same_rows(spark):
         assert sorted((r.doc_id, r.item_id, round(r.similarity, 9), r.first_word, r.end_word) for r in got) == sorted(brute(docs, items))
 
 
+def test_document_shorter_than_the_item_is_one_window(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(item[:-1])), (2, " ".join(item[1:])), (3, " ".join(item[:20])), (4, "w0 w1 w2")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontam.find_leaks(frame, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, round(r.similarity, 6), r.first_word, r.end_word) for r in got) == [(1, 7, round(35 / 36, 6), 0, 39), (2, 7, round(35 / 36, 6), 0, 39)]
+
+
 def test_decontaminate_keeps_clean_rows_whole(spark):
     docs, items = fixture()
     frame = spark.createDataFrame([(d, t, "l", [1]) for d, t in docs], "doc_id long, text string, leaks string, similarity array<int>")
