@@ -52,6 +52,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tandem.llm.common import materialize, text_of, wanted
 from tandem.llm.graph import components
+from tandem.llm.hashing import mix, run_hashes, word_hashes
 
 REGISTERS = 200
 MANTISSA = 10
@@ -77,51 +78,12 @@ PAIRS = 100_000
 #: Rows that one comparison takes: members outside the main component, and members.
 BLOCK = (256, 2048)
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_random = np.random.default_rng(20)
-_BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _random.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FAR = _random.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SLOT = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hash of each word, A-Z lower-cased."""
-    raw = np.frombuffer(text.encode("utf-8").translate(_LOWER), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    space = _IS_SPACE[raw]
-    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    inside = np.flatnonzero(~space)
-    sizes = ends - starts
-    offset = np.cumsum(sizes) - sizes
-    place = np.arange(len(inside)) - np.repeat(offset, sizes)
-    value = _BYTE[raw[inside]] * _PLACE[place & 4095]
-    if len(raw) > 4096 and (far := place >> 12).any():
-        value = value * _FAR[far & 4095]
-    return _mix(np.add.reduceat(value, offset) + sizes.astype(np.uint64))
-
-
 def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words."""
     words = word_hashes(text)
     if not len(words):
         return words
-    n = min(size, len(words))
-    h = np.full(len(words) - n + 1, np.uint64(n))
-    for i in range(n):
-        h = h + words[i : len(words) - n + 1 + i] * _SLOT[i % 64]
-    return np.unique(_mix(h))
+    return np.unique(run_hashes(words, min(size, len(words))))
 
 
 @lru_cache(maxsize=4)
@@ -132,7 +94,7 @@ def _probes(k: int) -> np.ndarray:
 def registers(shingles: np.ndarray, k: int = REGISTERS) -> np.ndarray:
     """Compressed registers of a set that is not empty."""
     least = np.full(k, np.iinfo(np.uint64).max)
-    np.minimum.at(least, ((shingles >> np.uint64(32)) % np.uint64(k)).astype(np.int64), _mix(shingles + np.uint64(0x632BE59BD9B4E019)))
+    np.minimum.at(least, ((shingles >> np.uint64(32)) % np.uint64(k)).astype(np.int64), mix(shingles + np.uint64(0x632BE59BD9B4E019)))
     full = np.zeros(k, bool)
     full[np.unique((shingles >> np.uint64(32)) % np.uint64(k)).astype(np.int64)] = True
     filled, empty = least.copy(), np.flatnonzero(~full)

@@ -12,20 +12,22 @@ same offset, if anchor and period together fit the window.  (Window 20, period
 
 1. Count the anchors by hash; those that occur twice or more are written out.
 2. Find where they occur: the places around which a long match can lie.
-3. Extend: hash (96 bits) every window that holds such a place, and take the
+3. Extend: hash (128 bits) every window that holds such a place, and take the
    first occurrence of each.
 4. In each document, windows at such places that are not first occurrences go.
 
 Of whole copies only the first has its windows hashed: in the others every
 window starts earlier.
 
-Scale: counts and first occurrences are combined before they are shuffled, so
-that a passage that a third of all documents share is a few rows for each task.
-Step 2 is a plain join of two written or scanned tables, whose hot keys Spark
-splits.  No pairs of documents are ever formed.  Texts move by document id.
+Scale: texts are hashed in Arrow batches, whose rows leave in small batches; a
+worker holds one document's hashes and about ``ROWS`` rows.  Counts and first
+occurrences are combined before they are shuffled, so that a passage that a
+third of all documents share is a few rows for each task.  Step 2 is a plain
+join of two written or scanned tables, whose hot keys Spark splits.  No pairs
+of documents are ever formed.  Texts move by document id.
 
 Defined results: null and empty texts and texts below ``window`` words lose
-nothing.  Repeated rows (same id, same text) are one document and lose the same
+nothing; very long texts are judged whole; an empty table stays empty.  Repeated rows (same id, same text) are one document and lose the same
 words; rows with one id and different texts are documents ordered by a hash of
 the text.  A null id counts as smaller than any other.  Extra columns pass
 through; ``n_words``, ``n_removed`` and the text are replaced.
@@ -33,15 +35,22 @@ through; ``n_words``, ``n_removed`` and the text are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import hash128, let, materialize, text_of, with_results, words_of
+from tandem.llm.common import hash128, materialize, text_of, with_results
+from tandem.llm.hashing import run_hashes, word_hashes
 
 WINDOW = 20
 
+#: Rows that a worker holds before it passes them on.
+ROWS = 100_000
+
 #: Words of an anchor, at least: shorter ones would occur everywhere.
 ANCHOR_WORDS = 8
 
@@ -63,56 +72,60 @@ def plan_anchors(window: int) -> tuple[int, tuple[int, ...], int]:
     return period, difference_cover(period), window - period + 1
 
 
-def anchors(words: Column, period: int, cover: tuple[int, ...], size: int, places: bool) -> Column:
-    """Hashes of the anchors of a text; with ``places`` structs of start and hash."""
-    last = F.size(words) - size
-
-    def at(p: Column) -> Column:
-        h = F.xxhash64(F.slice(words, p + 1, size))
-        return F.struct(p.alias("p"), h.alias("h")) if places else h
-
-    none = F.array().cast("array<struct<p:int,h:bigint>>" if places else "array<bigint>")
-    return F.flatten(F.array(*(F.when(last < c, none).otherwise(F.transform(F.sequence(F.lit(c), last, F.lit(period)), at)) for c in cover)))
+def cover_positions(n_words: int, period: int, cover: tuple[int, ...], size: int) -> np.ndarray:
+    """Positions on the cover at which an anchor fits, sorted."""
+    last = n_words - size
+    if last < 0:
+        return np.zeros(0, np.int64)
+    periods = np.arange(0, last + 1, period)
+    at = (periods[:, None] + np.array(cover)).ravel()
+    return at[at <= last]
 
 
-def starts_near(places: Column, n_words: Column, window: int, size: int) -> Column:
+def starts_near(places: np.ndarray, n_words: int, window: int, size: int) -> np.ndarray:
     """Sorted starts of the windows that hold an anchor at one of the places."""
     last = n_words - window
-
-    def of_sorted(ps: Column) -> Column:
-        def run(p: Column, j: Column) -> Column:
-            low = F.greatest(F.lit(0), p - (window - size), F.coalesce(F.get(ps, j - 1) + 1, F.lit(0)))
-            high = F.least(p, last)
-            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-        return F.flatten(F.transform(ps, run))
-
-    return let(F.array_sort(F.array_distinct(places)), of_sorted)
-
-
-def covered(starts: Column, window: int) -> Column:
-    """Positions of the words in the windows with these sorted starts, each once."""
-
-    def of(ps: Column) -> Column:
-        return F.flatten(F.transform(ps, lambda p, j: F.sequence(p, F.least(p + (window - 1), F.coalesce(F.get(ps, j + 1) - 1, p + (window - 1))))))
-
-    return let(starts, of)
-
-
-def window_hashes(words: Column, starts: Column, window: int) -> Column:
-    """Structs (h1, h2, i) of the windows at ``starts``, the first of equal ones only."""
-
-    def hashed(own: Column) -> Column:
-        return F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(own, i + 1, window)).alias("h1"), F.hash(F.slice(own, i + 1, window)).alias("h2"), i.alias("i")))
-
-    def first(ws: Column) -> Column:
-        def of_sorted(s: Column) -> Column:
-            return F.filter(s, lambda x, j: (j == 0) | (F.get(s, j - 1)["h1"] != x["h1"]) | (F.get(s, j - 1)["h2"] != x["h2"]))
-
-        distinct = F.size(F.array_distinct(F.transform(ws, lambda x: x["h1"]))) == F.size(ws)
-        return F.when(distinct, ws).otherwise(let(F.array_sort(ws), of_sorted))
-
-    return let(let(F.transform(words, lambda w: F.xxhash64(w)), hashed), first)
+    if last < 0 or not len(places):
+        return np.zeros(0, np.int64)
+    edge = np.zeros(last + 2, np.int64)
+    np.add.at(edge, np.clip(places - (window - size), 0, last + 1), 1)
+    np.add.at(edge, np.clip(places + 1, 0, last + 1), -1)
+    return np.flatnonzero(np.cumsum(edge)[: last + 1] > 0)
+
+
+def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
+    """For each word whether a window at one of the starts covers it."""
+    edge = np.zeros(n_words + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + window, -1)
+    return np.cumsum(edge)[:n_words] > 0
+
+
+def first_windows(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, start) of the windows at ``starts``, the first of equal ones only."""
+    h1, h2 = run_hashes(words, window, starts), run_hashes(words, window, starts, second=True)
+    order = np.lexsort((starts, h2, h1))
+    same = np.zeros(len(order), bool)
+    same[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+    stay = np.sort(order[~same])
+    return h1[stay], h2[stay], starts[stay]
+
+
+def _flat(batches: Iterator[pa.RecordBatch], own: list[str], of_row: Callable[[pa.RecordBatch, int], tuple[np.ndarray, ...]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Some rows for each row: its columns ``own``, and the arrays that ``of_row`` returns; in batches of about ``ROWS`` rows."""
+    for batch in batches:
+        rows, parts, n = [], [], 0
+        for r in range(batch.num_rows):
+            found = of_row(batch, r)
+            if len(found[0]):
+                rows.append(r)
+                parts.append(found)
+                n += len(found[0])
+            if parts and (n > ROWS or r + 1 == batch.num_rows):
+                at = pa.array(np.repeat(rows, [len(p[0]) for p in parts]))
+                made = [pa.array(np.concatenate(x).view(np.int64) if t == pa.int64() else np.concatenate(x).astype(np.int32), t) for x, t in zip(zip(*parts, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in own), *made], names=own + names)
+                rows, parts, n = [], [], 0
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
@@ -128,6 +141,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), text_of(text).alias("t"), F.hash(F.col(text)).alias("th"))
     by_id = rows.groupBy("k").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b OR k IS NULL").isEmpty()
     own = ["k"] if by_id else ["k", "th"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
 
     def same(left: str, right: str) -> Column:
         return F.expr(" AND ".join(f"{left}{c} <=> {right}{c}" for c in own))
@@ -135,20 +149,31 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def named(prefix: str) -> list[Column]:
         return [F.col(c).alias(prefix + c) for c in own]
 
-    def found(places: bool) -> Column:
-        return F.explode(let(words_of(F.col("t")), lambda w: anchors(w, period, cover, size, places)))
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_row(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
+            words = word_hashes(batch.column("t")[r].as_py(), lower=False)
+            at = cover_positions(len(words), period, cover, size)
+            return at, run_hashes(words, size, at)
 
-    repeated = materialize(rows.select(found(False).alias("h")).groupBy("h").count().where("count > 1").select("h"))
+        return _flat(batches, own, of_row, ["p", "h"], [pa.int32(), pa.int64()])
 
-    placed = rows.select(*own, found(True).alias("a")).select(*own, "a.p", "a.h").join(repeated, "h")
-    places = materialize(placed.groupBy(*named("p")).agg(F.collect_list("p").alias("places")))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_row(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            words = word_hashes(batch.column("t")[r].as_py(), lower=False)
+            places = batch.column("places")[r].values.to_numpy()
+            return first_windows(words, starts_near(places, len(words), window, size), window)
+
+        return _flat(batches, own, of_row, ["h1", "h2", "i"], [pa.int64(), pa.int64(), pa.int32()])
+
+    placed = rows.select(*own, "t").mapInArrow(anchors, f"{kinds}, p int, h bigint")
+    repeated = materialize(placed.groupBy("h").count().where("count > 1").select("h"))
+    places = materialize(placed.join(repeated, "h").groupBy(*named("p")).agg(F.collect_list("p").alias("places")))
 
     near = rows.select(*own, "t").join(places, same("", "p"))
     copies = later_copies(rows) if by_id else None
     if copies is not None:
         near = near.join(copies, "k", "left_anti")
-    windows = let(words_of(F.col("t")), lambda w: let(starts_near(F.col("places"), F.size(w), window, size), lambda starts: window_hashes(w, starts, window)))
-    seen = near.select(*own, F.explode(windows).alias("w")).select(*own, "w.*").groupBy("h1", "h2")
+    seen = near.select(*own, "t", "places").mapInArrow(windows, f"{kinds}, h1 bigint, h2 bigint, i int").groupBy("h1", "h2")
     if by_id:
         first = seen.agg(F.min_by("i", "k").alias("i"), F.min("k").alias("k"))
     else:
@@ -162,21 +187,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         copied = F.coalesce("copy", F.lit(False))
     joined = rows.join(marks, same("", "p"), "left")
 
-    def judged(w: Column) -> Column:
-        n = F.size(w)
-        starts = starts_near(F.col("places"), n, window, size)
-        later = F.when(F.col("firsts").isNull(), starts).otherwise(F.array_except(starts, F.col("firsts")))
-        none = F.array().cast("array<int>")
-        gone = F.when(F.col("places").isNull() | (n < window), none).when(copied, F.sequence(F.lit(0), n - 1)).otherwise(covered(later, window))
-
-        def result(x: Column) -> Column:
-            stay = F.array_except(F.sequence(F.lit(0), n - 1), x)
-            kept = F.when(F.size(x) == 0, F.array_join(w, " ")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(w, i)), " "))
-            return F.struct(n.cast("bigint").alias("n"), F.size(x).cast("bigint").alias("gone"), kept.alias("kept"))
-
-        return let(gone, result)
-
-    out = joined.withColumn("j", let(words_of(F.col("t")), judged))
+    def judged(texts: pa.Array, places: pa.Array, firsts: pa.Array, copied: pa.Array) -> pa.Array:
+        out = []
+        for t, p, f, copy in zip(texts, places, firsts, copied, strict=True):
+            words = t.as_py().encode("utf-8").split()
+            n = len(words)
+            if p.is_valid and n >= window:
+                if copy.as_py():
+                    gone = np.ones(n, bool)
+                else:
+                    starts = starts_near(p.values.to_numpy(), n, window, size)
+                    gone = covered(np.setdiff1d(starts, f.values.to_numpy(), assume_unique=True) if f.is_valid else starts, n, window)
+                words = [words[i] for i in np.flatnonzero(~gone).tolist()]
+            out.append((n, n - len(words), b" ".join(words).decode("utf-8")))
+        n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["n", "gone", "kept"])
+
+    out = joined.withColumn("j", F.arrow_udf(judged, "n bigint, gone bigint, kept string")(F.col("t"), F.col("places"), F.col("firsts"), copied))
     return with_results(out, {text: F.col("j.kept"), "n_words": F.col("j.n"), "n_removed": F.col("j.gone")})
 
 

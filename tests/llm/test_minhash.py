@@ -140,7 +140,7 @@ def test_registers_estimate_similarity():
 
 def test_registers_hold_zeros_and_mantissa():
     h = np.array([1 << 40], np.uint64)
-    value = int(minhash._mix(h + np.uint64(0x632BE59BD9B4E019))[0])
+    value = int(minhash.mix(h + np.uint64(0x632BE59BD9B4E019))[0])
     zeros = 64 - value.bit_length()
     mantissa = int(format(value, "064b")[zeros + 1 :][:10].ljust(10, "0"), 2)
     assert set(minhash.registers(h).tolist()) == {zeros << 10 | mantissa}
