@@ -23,12 +23,16 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str, names: tuple[str, str, str] = ("s", "e", "raw")) -> Column:
     """Array of (s, e, raw) of the leftmost matches that do not overlap.
 
     The pieces between the matches and the matches themselves give the offsets
-    by their lengths.  The pattern must not match the empty text.
+    by their lengths.  The pattern must not match the empty text.  Matches are
+    summed up in blocks of about the square root of their number, since each
+    step of a fold copies the array that it extends.
     """
+    start, end, value = names
+    kind = f"array<struct<{start}:int,{end}:int,{value}:string>>"
 
     def placed(m: Column) -> Column:
         def with_gaps(g: Column) -> Column:
@@ -36,13 +40,20 @@ def find_all(text: Column, pattern: str) -> Column:
                 raw = F.get(m, i)
                 s = acc["at"] + F.length(F.get(g, i))
                 e = s + F.length(raw)
-                return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), raw.alias("raw")))).alias("out"))
+                return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias(start), e.alias(end), raw.alias(value)))).alias("out"))
 
-            zero = F.struct(F.lit(0).alias("at"), empty(MATCH).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step, lambda a: a["out"])
+            width = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(m))).cast("int"))
+
+            def block(acc: Column, b: Column) -> Column:
+                zero = F.struct(acc["at"].alias("at"), empty(kind).alias("out"))
+                own = F.aggregate(F.sequence(b * width, F.least((b + 1) * width, F.size(m)) - 1), zero, step)
+                return let(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+            zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / width).cast("int")), zero, block, lambda a: F.flatten(a["out"]))
 
         # most patterns find nothing: the text is split only for those that do
-        return F.when(F.size(m) == 0, empty(MATCH)).otherwise(let(F.split(text, pattern, -1), with_gaps))
+        return F.when(F.size(m) == 0, empty(kind)).otherwise(let(F.split(text, pattern, -1), with_gaps))
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 

@@ -5,24 +5,35 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``.
 
-    Later stages start from files that outlive any executor, and nothing is
-    planned or computed twice.  A temporary folder serves only where the setting
-    is absent, as in tests.
+    A temporary folder serves only where the setting is absent and driver and
+    executors are one process, as in tests; elsewhere executors would write to
+    their own disks, so that is an error.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="tandem-stages-"))
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="tandem-scratch-"))
         root = _OWN[0]
-    path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tandem-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the scratch folder and read it back.
+
+    Later stages start from files that outlive any executor, and nothing is
+    planned or computed twice.
+    """
+    path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
