@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandem.functions import rx
+from tandem.functions.rx import let
+from tandem.sources import scratch
+
 #: The characters that separate words, as text and as a character class.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-_OWN_SCRATCH: list[str] = []
-
 
 def text_of(col: str | Column) -> Column:
     """The text, with null as the empty text."""
@@ -36,16 +39,6 @@ def hash128(col: Column) -> list[Column]:
     return [F.xxhash64(col), F.xxhash64(F.lit("second"), col)]
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _OWN_SCRATCH:
-            _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="tandem-scratch-"))
-        root = _OWN_SCRATCH[0]
-    return f"{root.rstrip('/')}/tandem-{uuid.uuid4().hex}"
-
-
 #: Session settings while a table is written: shuffle files go with their query, and
 #: joins with a counted key table (``wanted``) filter the other side's scan by a
 #: Bloom filter of bounded size before it is shuffled.
@@ -56,23 +49,37 @@ _WRITING = {
 }
 
 
+_lock = threading.Lock()
+_before: dict[SparkSession, list] = {}
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """The settings hold while any thread writes; the last one puts back what was there before the first."""
+    with _lock:
+        if spark not in _before:
+            _before[spark] = [0, {k: spark.conf.get(k, None) for k in _WRITING}]
+            for k, v in _WRITING.items():
+                spark.conf.set(k, v)
+        _before[spark][0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _before[spark][0] -= 1
+            if not _before[spark][0]:
+                for k, v in _before.pop(spark)[1].items():
+                    spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and lets Spark
     delete the shuffle files of the finished query right away.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    with _settings(df.sparkSession):
+        return scratch.materialize(df)
 
 
 def wanted(rows: DataFrame, key: str) -> DataFrame:
@@ -88,15 +95,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once.
-
-    An expression used inside a lambda would otherwise be computed again for
-    each element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def with_results(source: DataFrame, results: dict[str, Column], row: str = "row") -> DataFrame:
     """The columns of the struct ``row``, and the results; a result takes the place of a column of its name."""
     names = source.schema[row].dataType.names
@@ -106,15 +104,4 @@ def with_results(source: DataFrame, results: dict[str, Column], row: str = "row"
 
 def find_all(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the leftmost matches that do not overlap."""
-
-    def placed(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["g"], i))
-            value = F.get(x["m"], i)
-            end = start + F.length(value)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-        return F.when(F.size(x["m"]) == 0, zero["out"]).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["m"]) - 1), zero, step, lambda a: a["out"]))
-
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")), placed)
+    return rx.find_all(text, pattern, ("start", "end", "value"))

@@ -2,33 +2,35 @@
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers.
 Their values are the protected entities.  A term (a run of letters and digits)
-near such a value can reveal it without being personal data itself: the name
-that always stands by one phone number.  How strongly it does is estimated from
-the corpus, following information-theoretic sanitisation: the pointwise mutual
-information of entity c and term t, against the information content of c,
+can reveal one without being personal data itself: the name that always stands
+by one phone number.  How strongly it does is estimated from the corpus,
+following information-theoretic sanitisation: the pointwise mutual information
+of entity c and term t, against the information content of c,
 
     PMI(c, t) = log2(N n(c, t) / (n(c) n(t)))  >=  IC(c) / ALPHA,  IC(c) = log2(N / n(c)).
 
-N is the number of documents, n(t) how many hold t, n(c) and n(c, t) the number
-of different contexts (terms within ``CONTEXT`` code points on both sides) in
-which c occurs, with t.  Copies of a document are one context, so that a text
-does not give itself away by being copied; a pair counts from ``SUPPORT``
-contexts on.  Such terms are spans where they stand near their entity;
-``sanitise`` generalises all spans to a tag of their kind.
+All four counts are of documents: N of all, n(c) and n(t) of those that hold c
+or t anywhere, n(c, t) of those that hold t within ``CONTEXT`` code points of c.
+A pair counts if documents with two different texts hold it, so that a text does
+not give itself away by being copied.  A term above the threshold discloses its
+entity in every document that holds the entity, wherever the term stands there:
+all its occurrences become spans.  ``sanitise`` generalises all spans to a tag
+of their kind.
 
 Scale: texts are scanned once for the patterns; contexts are a few rows for each
-value found.  Document frequencies are counted over all documents, in a second
-scan that joins the distinct terms of each to the candidates (none: no scan).
-Results are narrow rows by document.
+value found.  Where a pair qualifies, document frequencies are counted over all
+documents, combined by term before they are shuffled, and then joined to the
+candidates.  Results are narrow rows by document.
 
 Offsets are code points, end exclusive.  The patterns are written so that the
 regex engine neither backtracks nor recurses over long runs; they match what
 the plain ones do.
 
-Defined results: null and empty texts have no spans; repeated rows count as one
-document and get the same spans; rows that share an id with other texts are told
-apart by a hash of the text; extra columns pass through, and ``spans`` and the
-text are replaced.
+Defined results: null and empty texts have no spans, an empty table no rows;
+very long texts are scanned whole; repeated rows each count as a document and
+get the same spans; rows that share an id with other texts are told apart by a
+hash of the text; extra columns pass through, and ``spans`` and the text are
+replaced.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ from pyspark.sql import functions as F
 from tandem.llm.common import find_all, let, lower_ascii, materialize, text_of, with_results
 
 CONTEXT = 120
-SUPPORT = 3
 ALPHA = 1.25
 
 KINDS = ("email", "ip", "card", "phone")
@@ -92,50 +93,65 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of_kind, KINDS))
 
 
+def _words(text: Column) -> Column:
+    """(start, end, value) of the terms of a text, lower-cased."""
+    return F.transform(find_all(text, _TERM), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), lower_ascii(m["value"]).alias("value")))
+
+
+def _clear(words: Column, spans: Column) -> Column:
+    """The words that overlap no span."""
+    return F.filter(words, lambda m: ~F.exists(spans, lambda s: (m["start"] < s["end"]) & (m["end"] > s["start"])))
+
+
 def _contexts(text: Column, spans: Column) -> Column:
-    """For each span its entity, the hash of its context, and the terms of this with their places."""
+    """Distinct (entity, term) of a text: the terms within ``CONTEXT`` of each span."""
 
     def of(span: Column) -> Column:
         low = F.greatest(span["start"] - CONTEXT, F.lit(0))
         left, right = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(CONTEXT))
+        moved = lambda side, by: F.transform(_words(side), lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value")))
+        # words cut by the edge of the context are no terms
+        inner = F.filter(moved(left, low), lambda m: (m["start"] > low) | (low == 0))
+        outer = F.filter(moved(right, span["end"]), lambda m: (m["end"] < span["end"] + CONTEXT) | (m["end"] == F.length(text)))
+        near = F.filter(spans, lambda s: (s["end"] > low) & (s["start"] < span["end"] + CONTEXT))
+        return F.transform(_clear(F.concat(inner, outer), near), lambda m: F.struct(_entity(span).alias("entity"), m["value"].alias("term")))
 
-        def terms(side: Column, offset: Column) -> Column:
-            return F.transform(find_all(side, _TERM), lambda m: F.struct(lower_ascii(m["value"]).alias("term"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")))
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
 
-        # words cut by the edge of the context are no terms
-        inner = F.filter(terms(left, low), lambda m: (m["start"] > low) | (low == 0))
-        outer = F.filter(terms(right, span["end"]), lambda m: (m["end"] < span["end"] + CONTEXT) | (m["end"] == F.length(text)))
-        clear = F.filter(F.concat(inner, outer), lambda m: ~F.exists(spans, lambda s: (m["start"] < s["end"]) & (m["end"] > s["start"])))
-        return F.struct(F.concat_ws(":", span["kind"], span["value"]).alias("entity"), F.xxhash64(left, right).alias("context"), clear.alias("terms"))
 
-    return F.transform(spans, of)
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["value"])
 
 
 def _span_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """Base spans with contexts by row (written out), and term spans by document if there are any."""
-    rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("th", F.hash("t"))
+    """Base spans by row (written out), and term spans by document if there are any."""
+    rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
     spans = rows.withColumn("base", base_spans(F.col("t")))
-    none = F.array().cast("array<struct<entity:string,context:bigint,terms:array<struct<term:string,start:int,end:int>>>>")
-    base = materialize(spans.select("k", "th", "base", F.when(F.size("base") > 0, _contexts(F.col("t"), F.col("base"))).otherwise(none).alias("contexts")))
+    none = F.array().cast("array<struct<entity:string,term:string>>")
+    base = materialize(spans.select("k", "th", "base", F.when(F.size("base") > 0, _contexts(F.col("t"), F.col("base"))).otherwise(none).alias("near")))
 
-    held = base.where(F.size("base") > 0).select("k", "th", F.explode("contexts").alias("c")).select("k", "th", "c.*")
-    near = held.select("k", "th", "entity", "context", F.explode("terms").alias("x")).select("k", "th", "entity", "context", "x.*")
-    by_pair = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct"))
-    pairs = materialize(by_pair.where(F.col("nct") >= SUPPORT))
+    entities = base.where(F.size("base") > 0).select("k", "th", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    near = base.select("th", F.explode("near").alias("x")).select("th", "x.*")
+    counted = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("nct"), F.min("th").alias("a"), F.max("th").alias("b"))
+    pairs = materialize(counted.where("a <> b").select("entity", "term", "nct"))
     if pairs.isEmpty():
         return base, None
-    candidates = pairs.select("term").distinct()
-    words = rows.select("k", F.explode(F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(_TERM), F.lit(0)))).alias("term"))
-    frequency = words.join(candidates, "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
-    by_entity = held.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
-    n = rows.select("k").distinct().count()
+    own = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("t")), F.lit(_TERM), F.lit(0)))
+    frequency = rows.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    by_entity = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
     joint = pairs.join(by_entity, "entity").join(frequency, "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("nct") / (F.col("nc") * F.greatest("nt", "nct")))
-    content = F.log2(F.lit(float(n)) / F.col("nc"))
+    n = F.lit(float(base.count()))
+    pmi = F.log2(n * F.col("nct") / (F.col("nc") * F.col("nt")))
+    content = F.log2(n / F.col("nc"))
     telling = materialize(joint.where((content > 0) & (pmi >= content / ALPHA)).select("entity", "term"))
-    found = near.join(telling, ["entity", "term"]).select("k", "th", "start", "end", "term").distinct()
-    span = F.struct(F.lit(TERM).alias("kind"), "start", "end", F.col("term").alias("value"))
-    return base, found.groupBy(F.col("k").alias("tk"), F.col("th").alias("tth")).agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    told = materialize(entities.join(telling, "entity").groupBy(F.col("k").alias("tk"), F.col("th").alias("tth")).agg(F.collect_set("term").alias("told")))
+
+    same = F.col("k").eqNullSafe(F.col("tk")) & (F.col("th") == F.col("tth"))
+    marked = rows.join(told, same).select("tk", "tth", "told", "t").dropDuplicates(["tk", "tth"])
+    hits = F.filter(_words(F.col("t")), lambda m: F.array_contains("told", m["value"]))
+    terms = _clear(hits, base_spans(F.col("t")))
+    made = F.transform(terms, lambda m: F.struct(F.lit(TERM).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return base, materialize(marked.select("tk", "tth", made.alias("terms")))
 
 
 def find_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +187,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         marked = joined.select(F.col("k").alias("sk"), F.col("th").alias("sth"), F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms")).alias("spans_"))
     marked = marked.where(F.size("spans_") > 0).dropDuplicates(["sk", "sth"])
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), text_of(text).alias("t"))
-    joined = rows.join(marked, F.col("k").eqNullSafe(F.col("sk")) & (F.hash("t") == F.col("sth")), "left")
+    joined = rows.join(marked, F.col("k").eqNullSafe(F.col("sk")) & (F.xxhash64("t") == F.col("sth")), "left")
     spans = F.coalesce("spans_", F.array().cast(SPAN))
     return with_results(joined, {text: replaced(F.col("t"), spans), "spans": spans})
 
@@ -220,31 +236,38 @@ WITH base AS (
 ), spans AS (
   {" UNION ALL ".join(_kind_sql(n, kind) for n, kind in enumerate(KINDS))}
 ), near AS (
-  SELECT doc_id, kind || ':' || value AS entity, s AS at, e AS stop, greatest(s - {CONTEXT}, 0) AS low, length(text) AS size,
+  SELECT doc_id, kind || ':' || value AS entity, s AS at, e AS stop, greatest(s - {CONTEXT}, 0) AS low, length(text) AS size, md5(text) AS th,
          text[greatest(s - {CONTEXT}, 0) + 1:s] AS before, text[e + 1:e + {CONTEXT}] AS behind FROM spans
 ), tokens AS (
-  SELECT doc_id, entity, before, behind, {_LOWER_SQL.format('m')} AS term, low + s AS s, low + e AS e
-  FROM ({_placed_sql('near', 'doc_id, entity, before, behind, low', 'before', '[\\p{L}\\p{N}]+')}) WHERE s > 0 OR low = 0
+  SELECT doc_id, th, entity, {_LOWER_SQL.format('m')} AS term, low + s AS s, low + e AS e
+  FROM ({_placed_sql('near', 'doc_id, th, entity, low', 'before', '[\\p{L}\\p{N}]+')}) WHERE s > 0 OR low = 0
   UNION ALL
-  SELECT doc_id, entity, before, behind, {_LOWER_SQL.format('m')} AS term, stop + s AS s, stop + e AS e
-  FROM ({_placed_sql('near', 'doc_id, entity, before, behind, stop, size', 'behind', '[\\p{L}\\p{N}]+')}) WHERE e < {CONTEXT} OR stop + e = size
+  SELECT doc_id, th, entity, {_LOWER_SQL.format('m')} AS term, stop + s AS s, stop + e AS e
+  FROM ({_placed_sql('near', 'doc_id, th, entity, stop, size', 'behind', '[\\p{L}\\p{N}]+')}) WHERE e < {CONTEXT} OR stop + e = size
 ), clear AS (
   SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM spans x WHERE x.doc_id = t.doc_id AND t.s < x.e AND t.e > x.s)
 ), pairs AS (
-  SELECT entity, term, count(DISTINCT (before, behind)) AS nct FROM clear GROUP BY ALL HAVING count(DISTINCT (before, behind)) >= {SUPPORT}
+  SELECT entity, term, count(DISTINCT doc_id) AS nct FROM clear GROUP BY ALL HAVING count(DISTINCT th) >= 2
 ), entities AS (
-  SELECT entity, count(DISTINCT (before, behind)) AS nc FROM near GROUP BY entity
+  SELECT entity, count(DISTINCT doc_id) AS nc FROM near GROUP BY entity
 ), frequencies AS (
-  SELECT term, count(DISTINCT doc_id) AS nt FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_LOWER_SQL.format('text')}, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM base) WHERE term IN (SELECT term FROM pairs) GROUP BY term
+  SELECT term, count(*) AS nt FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all({_LOWER_SQL.format('text')}, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM base) WHERE term IN (SELECT term FROM pairs) GROUP BY term
 ), n AS (
-  SELECT count(DISTINCT doc_id)::DOUBLE AS n FROM base
+  SELECT count(*)::DOUBLE AS n FROM base
 ), telling AS (
   SELECT entity, term FROM pairs JOIN entities USING (entity) JOIN frequencies USING (term), n
-  WHERE n > nc AND log2(n * nct / (nc * greatest(nt, nct))) >= log2(n / nc) / {ALPHA}
+  WHERE n > nc AND log2(n * nct / (nc * nt)) >= log2(n / nc) / {ALPHA}
+), told AS (
+  SELECT DISTINCT doc_id, term FROM near JOIN telling USING (entity)
+), holders AS (
+  SELECT doc_id, text FROM base WHERE doc_id IN (SELECT doc_id FROM told)
+), places AS (
+  SELECT doc_id, {_LOWER_SQL.format('m')} AS term, s, e FROM ({_placed_sql('holders', 'doc_id', 'text', '[\\p{L}\\p{N}]+')})
 ), every AS (
   SELECT doc_id, kind, ord, s, e FROM spans
   UNION ALL
-  SELECT DISTINCT doc_id, '{TERM}', {len(KINDS)}, s, e FROM clear JOIN telling USING (entity, term)
+  SELECT doc_id, '{TERM}', {len(KINDS)}, s, e FROM places p JOIN told USING (doc_id, term)
+  WHERE NOT EXISTS (SELECT 1 FROM spans x WHERE x.doc_id = p.doc_id AND p.s < x.e AND p.e > x.s)
 ), summed AS (
   SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in KINDS)},
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s, e) FILTER (WHERE ord < {len(KINDS)}) AS own, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY ord, s, e) AS spans

@@ -43,25 +43,30 @@ def test_patterns_against_plain_ones(spark):
 def revealing():
     """A name stands by one phone number in many texts, other words by all numbers."""
     rng = random.Random(1)
-    w = lambda: f"w{rng.randrange(300)}"
-    texts = [f"{w()} {w()} call Zanthor at +44 20 7946 {1000 + 111 * (i % 2)} {w()} {w()}" if i % 2 else f"{w()} call us at +44 20 7946 {2000 + i} {w()} {w()}" for i in range(24)]
+    w = lambda: f"w{rng.randrange(12)}"
+    texts = [f"{w()} {w()} call Zanthor at +44 20 7946 1111 {w()} {w()}" if i % 2 else f"{w()} call us at +44 20 7946 {2000 + i} {w()} {w()}" for i in range(24)]
     texts += [" ".join(w() for _ in range(12)) for _ in range(60)]
+    texts += ["no name, only +44 20 7946 1111 " + "and much text " * 40 + "until ZANTHOR comes", "Zanthor without a number"]
     copies = ["the unique Quorvex wrote from q@r.st here"] * 9
     return texts + copies
 
 
+def told(text):
+    return re.findall("zanthor", text.lower()) if "1111" in (text or "") else []
+
+
 def test_terms_that_reveal(spark):
     texts = revealing()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, start int")
     for r in pii.find_spans(docs).collect():
-        terms = [(s.kind, s.value) for s in r.spans if s.kind == "term"]
-        assert terms == ([("term", "zanthor")] if "Zanthor" in texts[r.doc_id] else []), texts[r.doc_id]
+        assert [s.value for s in r.spans if s.kind == "term"] == told(texts[r.doc_id]), texts[r.doc_id]
         assert [s for s in r.spans if s.kind != "term"] == r.base
         assert all(texts[r.doc_id][s.start : s.end].lower() == s.value.lower() for s in r.spans)
     made = pii.sanitise(docs)
     assert made.columns == ["doc_id", "start", "text", "spans"]
     out = {r.doc_id: r.text for r in made.collect()}
     assert "call <term> at <phone> " in out[1] and "<email>" in out[len(texts) - 1] and "Quorvex" in out[len(texts) - 1]
+    assert "until <term> comes" in out[84] and out[85] == texts[85]
     assert all(out[i] == t for i, t in enumerate(texts) if not brute(t))
 
 
@@ -88,4 +93,4 @@ def test_sql_has_the_same_terms(spark):
     found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = found.select("doc_id", pii.span_text(F.col("spans")).alias("spans")).orderBy("doc_id").collect()
     assert [r.spans for r in got] == want["spans"].tolist()
-    assert sum("term" in r.spans for r in got) == 12
+    assert sum("term" in r.spans for r in got) >= 13
