@@ -9,14 +9,17 @@ for each word whether it repeats one shortly before.  They say how a text is
 written, so that a model carries over to words that no labelled row holds.
 
 The model is fitted on at most ``FIT_ROWS`` labelled rows, those whose ids have
-the smallest hashes.  Their ids, never more than that, are broadcast to find
-the texts; their indicators come to the driver.  Scoring is one pass over the
-documents without a shuffle.  Margins become scores by a logistic curve, which
+the smallest hashes, and of these on as many as have ``FIT_BYTES`` of indicators
+together.  Their ids, never more than that, are broadcast to find the texts;
+Spark reduces these to one for each id; their indicators come to the driver.
+Scoring is one pass over the documents without a shuffle.  Margins become scores by a logistic curve, which
 is fitted on a fifth of those rows that the support vectors did not see.
 
 Defined results: null and empty texts have no indicators and get the score of
 the model's intercept; repeated rows score alike; a document with several labels
-counts as the lowest; null labels and ids are left out of the fit.  Where the
+counts as the lowest, an id with several texts as the one with the smallest
+hash; null labels and ids are left out of the fit; very long texts are scored
+whole; an empty table stays empty.  Where the
 labels hold fewer than two classes every score is the share of label 1, or 0.5
 without any labels.
 """
@@ -32,8 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.llm.common import materialize
+
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 8000
+#: Bytes of their indicators, at most (4 for each distinct slot of a text).
+FIT_BYTES = 128 << 20
 DIMS = 1 << 17
 EPOCHS = 12
 COST = 1.0
@@ -191,11 +198,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``fit_rows`` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model:
+    """Fit on at most ``fit_rows`` labelled rows outside the held-out fold, with at most ``fit_bytes`` of indicators."""
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
     sample = known.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k")
+    one = texts.groupBy("k", "y").agg(F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Indicators()
@@ -204,9 +212,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), found], names=["k", "y", "s"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = texts.select("k", F.col("y").cast("int").alias("y"), "t").mapInArrow(run, f"k {kind}, y int, s binary").toPandas()
-    found = found.drop_duplicates("k").sort_values("k", kind="stable")
-    return fit([np.frombuffer(s, np.int32) for s in found["s"]], found["y"].to_numpy().astype(int) == 1)
+    found = materialize(one.select("k", F.col("y").cast("int").alias("y"), "t").mapInArrow(run, f"k {kind}, y int, s binary"))
+    in_order = [F.xxhash64("k"), "k"]
+    sizes = np.cumsum([r[0] for r in found.orderBy(*in_order).select(F.octet_length("s")).collect()])
+    rows = found.orderBy(*in_order).limit(int(np.searchsorted(sizes, fit_bytes, "right"))).select("y", "s").collect()
+    return fit([np.frombuffer(r.s, np.int32) for r in rows], np.array([r.y for r in rows], int) == 1)
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:

@@ -28,6 +28,24 @@ def test_held_out_accuracy_and_fold(spark):
     assert np.array_equal(model.weights, again.weights) and model.slope == again.slope
 
 
+def test_accuracy_on_the_held_out_rows_of_the_tables(spark):
+    source = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{source}/{t}.parquet") for t in ("documents", "labels"))
+    made = classifier.classify(docs, classifier.train(docs, labels)).join(labels, "doc_id").where(classifier.held_out(F.col("doc_id"))).collect()
+    right = sum((r.score >= 0.3) == (r.quality == 1) for r in made)
+    assert len(made) > 30 and right >= 0.95 * len(made)
+
+
+def test_fit_is_bounded_and_repeatable(spark):
+    docs, labels = corpus(spark, 120)
+    several = docs.union(docs.withColumn("text", F.reverse("text"))).union(docs)
+    one, other = classifier.train(several, labels), classifier.train(several.repartition(5), labels)
+    assert np.array_equal(one.weights, other.weights) and one.bias == other.bias
+    small = classifier.train(docs, labels, fit_bytes=20_000)
+    assert not np.array_equal(small.weights, classifier.train(docs, labels).weights)
+    assert classifier.train(docs, labels, fit_bytes=0).score(np.zeros(0, np.int64)) == 0.5
+
+
 def test_odd_rows(spark):
     docs, labels = corpus(spark, 60)
     labels = labels.union(spark.createDataFrame([(None, 1), (3, None), (4, 0), (999, 1)], "doc_id long, quality int"))
