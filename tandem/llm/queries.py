@@ -25,7 +25,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every text and the cascade's verdict."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality_rules.quality_rules(docs, with_measures=True)
+    judged = quality_rules.quality_rules(docs, columns=("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 
