@@ -29,51 +29,51 @@ def script_counts(text: Column) -> dict[str, Column]:
     return counts
 
 
-def stopword_hits(words: Column, code: str) -> Column:
-    """Words of the array that are function words of the language."""
-    known = list(dict.fromkeys(lx.STOPWORDS[code].split()))
-    return F.size(F.filter(words, lambda w: w.isin(*known)))  # a hash set: the list is long
+def stopword_hits(words: Column, known: str) -> Column:
+    """Words of the array that are among the function words given."""
+    return F.size(F.filter(words, lambda w: w.isin(*dict.fromkeys(known.split()))))  # a hash set: the list is long
 
 
 def _language(code: str, name: str, script: str) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(name).alias("name"), F.lit(script).alias("script"))
 
 
-def detect_language(text: Column) -> Column:
+def detect_language(text: Column, stopwords: dict[str, str] = lx.STOPWORDS) -> Column:
     """struct(code, name, script) of a text.
 
     A text with 20 characters of the CJK scripts, or a fifth of its letters, is
     Korean, Japanese or Chinese by the share of their scripts.  Others go to the
     language with most function words: three and 5 % of the words at least, and
-    a lead of a fifth over the next.
+    a lead of a fifth over the next; of equal ones none leads.  Scripts are
+    counted only in texts that hold a CJK character.
     """
     unknown = _language("und", "Unknown", "Zyyy")
-
-    any_of_them = sorted({w for ws in lx.STOPWORDS.values() for w in ws.split()})
+    any_of_them = dict.fromkeys(w for ws in stopwords.values() for w in ws.split())
 
     def of_words(words: Column) -> Column:
         return let(F.filter(words, lambda w: w.isin(*any_of_them)), lambda hits: of_hits(hits, F.size(words)))
 
     def of_hits(hits: Column, n_words: Column) -> Column:
-        scores = F.array(*(F.struct(stopword_hits(hits, c).alias("n"), F.lit(c).alias("c")) for c in lx.STOPWORDS))
+        scores = F.array(*(F.struct(stopword_hits(hits, ws).alias("n"), F.lit(c).alias("c")) for c, ws in stopwords.items()))
 
         def best(ranked: Column) -> Column:
             top, second = F.get(ranked, 0), F.get(ranked, 1)
             sure = (top["n"] >= 3) & (top["n"] >= 0.05 * n_words) & (top["n"] >= 1.2 * second["n"])
-            names = F.create_map(*(F.lit(x) for c in lx.STOPWORDS for x in (c, lx.LANGUAGE_NAMES[c])))
+            names = F.create_map(*(F.lit(x) for c in stopwords for x in (c, lx.LANGUAGE_NAMES[c])))
             return F.when(sure, F.struct(top["c"].alias("code"), F.element_at(names, top["c"]).alias("name"), F.lit("Latn").alias("script"))).otherwise(unknown)
 
         return let(F.reverse(F.array_sort(scores)), best)
 
+    latin = let(F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿœ]+"), F.lit(0)), of_words)
+
     def of_counts(n: Column) -> Column:
         cjk = n["han"] + n["kana"] + n["hangul"]
         chinese = F.when(count_of(text, lx.HANS) > count_of(text, lx.HANT), _language("zh", "Chinese (Simplified)", "Hans")).otherwise(_language("zh", "Chinese (Traditional)", "Hant"))
         asian = F.when((n["hangul"] > 0) & (n["hangul"] >= 0.3 * cjk), _language("ko", "Korean", "Hang")).when((n["kana"] > 0) & (n["kana"] >= 0.05 * cjk), _language("ja", "Japanese", "Jpan")).otherwise(chinese)
-        words = F.regexp_extract_all(F.lower(text), F.lit("[a-zà-öø-ÿœ]+"), F.lit(0))
-        latin = F.when(n["latin"] > 0, let(words, of_words)).otherwise(unknown)
-        return F.when((cjk > 0) & ((cjk >= 20) | (cjk >= 0.2 * (cjk + n["latin"]))), asian).otherwise(latin)
+        return F.when((cjk >= 20) | (cjk >= 0.2 * (cjk + n["latin"])), asian).when(n["latin"] > 0, latin).otherwise(unknown)
 
-    return let(F.struct(*(c.alias(n) for n, c in script_counts(F.coalesce(text, F.lit(""))).items())), of_counts)
+    counts = F.struct(*(c.alias(n) for n, c in script_counts(text).items()))
+    return F.when(text.rlike(f"[{''.join(SCRIPTS.values())}]"), let(counts, of_counts)).when(text.isNotNull(), latin).otherwise(unknown)
 
 
 def is_cjk(script: Column) -> Column:

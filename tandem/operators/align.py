@@ -8,6 +8,7 @@ the digits that two sentences share.  A section is one bounded group.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 DOC = ("run_id", "slot")
 MAX_TERMS = 40
 
+#: Places off the diagonal that an alignment may go, besides the difference in length.
+BAND = 64
+
 #: Headings of definitions.
 DEFINITION_HEADINGS = "DEFINITION|INTERPRETATION|釋義|释义|定義|定义|詞彙|词汇|DÉFINITION|BEGRIFFSBESTIMMUNG|DEFINIZIONI|DEFINICIONES|DEFINIÇÕES|DEFINITIES"
 #: How a document introduces a defined term.
@@ -36,22 +40,32 @@ MENTIONS = {
     "pt": "portuguese portugaise portugiesische portoghese portuguesa 葡萄牙文 ポルトガル語", "nl": "dutch néerlandaise niederländische olandese neerlandesa 荷蘭文 荷兰文 オランダ語", "ja": "japanese japonaise japanische giapponese japonesa 日文 日本語",
     "ko": "korean coréenne koreanische coreana 韓文 韩文 韓国語",
 }
-_ANY = "|".join(sorted((w for ws in MENTIONS.values() for w in ws.split()), key=lambda w: (-len(w), w)))
+#: The same names by the language of the clause; a clause names languages in its own.
+NAMES = {
+    "en": "English|Chinese|French|German|Italian|Spanish|Portuguese|Dutch|Japanese|Korean",
+    "fr": "anglaise|chinoise|française|francaise|allemande|italienne|espagnole|portugaise|néerlandaise|japonaise|coréenne",
+    "de": "englische|chinesische|französische|deutsche|italienische|spanische|portugiesische|niederländische|japanische|koreanische",
+    "it": "inglese|cinese|francese|tedesca|italiana|spagnola|portoghese|olandese|giapponese|coreana",
+    "es": "inglesa|china|francesa|alemana|italiana|española|espanola|portuguesa|neerlandesa|japonesa|coreana",
+    "zh": "英文|中文|法文|德文|意大利文|義大利文|西班牙文|葡萄牙文|荷蘭文|荷兰文|日文|韓文|韩文",
+    "ja": "英語|中国語|フランス語|ドイツ語|イタリア語|スペイン語|ポルトガル語|オランダ語|日本語|韓国語",
+}
+#: Clauses on the prevailing version, each for names of its own language, in the order in which they are tried.
 PREVAIL = (
-    rf"(?iU)\b({_ANY})\b[^.]{{0,80}}?\b(?:shall|will|to)\s+(?:prevail|govern|control)",
-    rf"(?iU)\b({_ANY})\b[^.]{{0,80}}?\b(?:shall|will)\s+be\s+(?:authoritative|binding)",
-    rf"(?iU)prevail[^.]{{0,40}}?\b({_ANY})\b",
-    rf"(?U)以({_ANY})(?:版本|本|文本|版)?[為为]準?准?",
-    rf"(?iU)(?:version|texte)\s+({_ANY})[^.]{{0,80}}?(?:pr[ée]vau|fait\s+foi|l'emport|fera\s+foi)",
-    rf"(?iU)({_ANY})\s+(?:Fassung|Version|Sprachfassung)[^.]{{0,60}}?(?:ma(?:ß|ss)geblich|maßgebend|verbindlich|Vorrang)",
-    rf"(?iU)gilt\s+die\s+({_ANY})\s+(?:Fassung|Version|Sprachfassung)",
-    rf"(?iU)prevale\s+la\s+versione\s+({_ANY})",
-    rf"(?iU)versione\s+({_ANY})\s+(?:prevale|prevarrà|fa\s+fede)",
-    rf"(?iU)prevalecer[áa]?\s+la\s+versi[óo]n\s+({_ANY})",
-    rf"(?iU)versi[óo]n\s+({_ANY})\s+prevalecer[áa]?",
-    rf"(?iU)prevalece(?:rá)?\s+a\s+vers[ãa]o\s+({_ANY})",
-    rf"(?iU)vers[ãa]o\s+({_ANY})\s+prevalece(?:rá)?",
-    rf"({_ANY})版が優先",
+    rf"(?iU)\b({NAMES['en']})\b[^.]{{0,80}}?\b(?:shall|will|to)\s+(?:prevail|govern|control)",
+    rf"(?iU)\b({NAMES['en']})\b[^.]{{0,80}}?\b(?:shall|will)\s+be\s+(?:authoritative|binding)",
+    rf"(?iU)prevail[^.]{{0,40}}?\b({NAMES['en']})\b",
+    rf"(?U)以({NAMES['zh']})(?:版本|本|文本|版)?[為为]準?准?",
+    rf"(?iU)(?:version|texte)\s+({NAMES['fr']})[^.]{{0,80}}?(?:prévau|prevau|fait\s+foi|l'emport|fera\s+foi)",
+    rf"(?iU)({NAMES['de']})\s+(?:Fassung|Version|Sprachfassung)[^.]{{0,60}}?(?:maßgeblich|massgeblich|maßgebend|verbindlich|Vorrang)",
+    rf"(?iU)gilt\s+die\s+({NAMES['de']})\s+(?:Fassung|Version|Sprachfassung)",
+    rf"(?iU)prevale\s+la\s+versione\s+({NAMES['it']})",
+    rf"(?iU)versione\s+({NAMES['it']})\s+(?:prevale|prevarrà|fa\s+fede)",
+    rf"(?iU)prevalecer[áa]?\s+la\s+versi[óo]n\s+({NAMES['es']})",
+    rf"(?iU)versi[óo]n\s+({NAMES['es']})\s+prevalecer[áa]?",
+    rf"(?iU)prevalece(?:rá)?\s+a\s+vers[ãa]o\s+({NAMES['es']})",
+    rf"(?iU)vers[ãa]o\s+({NAMES['es']})\s+prevalece(?:rá)?",
+    rf"({NAMES['ja']})版が優先",
 )
 
 
@@ -72,18 +86,24 @@ def accept_matches(proposed: DataFrame, sides: DataFrame) -> DataFrame:
     """Matches whose places exist on both sides and are not taken by an accepted earlier one.
 
     ``proposed(run_id, ord, i, j, score)``, ``sides(run_id, n_en, n_zh)``.  Order
-    matters (a rejected match takes nothing), so a run's matches are folded.
+    matters (a rejected match takes nothing), so the matches of a run go one by
+    one past the sets of taken places.
     """
-    row = F.struct("ord", "i", "j", "score")
-    listed = proposed.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("ms")).join(sides, "run_id")
+    listed = proposed.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ord", "i", "j", "score"))).alias("ms")).join(sides, "run_id")
 
-    def step(acc: Column, m: Column) -> Column:
-        free = ~F.exists(acc, lambda t: (t["i"] == m["i"]) | (t["j"] == m["j"]))
-        valid = m["i"].between(0, F.col("n_en") - 1) & m["j"].between(0, F.col("n_zh") - 1)
-        return F.when(free & valid, F.concat(acc, F.array(m))).otherwise(acc)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = []
+            for r in batch.itertuples(index=False):
+                left, right = set(), set()
+                for m in r.ms:
+                    if 0 <= m["i"] < r.n_en and 0 <= m["j"] < r.n_zh and m["i"] not in left and m["j"] not in right:
+                        left.add(m["i"])
+                        right.add(m["j"])
+                        kept.append((r.run_id, m["ord"], m["i"], m["j"], m["score"]))
+            yield pd.DataFrame(kept, columns=["run_id", "ord", "i", "j", "score"])
 
-    kind = "array<struct<ord:int,i:int,j:int,score:double>>"
-    return listed.select("run_id", F.explode(F.aggregate(F.col("ms").cast(kind), F.array().cast(kind), step)).alias("m")).select("run_id", "m.*")
+    return listed.select("run_id", "ms", "n_en", "n_zh").mapInPandas(run, "run_id string, ord int, i int, j int, score double")
 
 
 def accept_pairs(proposed: DataFrame) -> DataFrame:
@@ -122,27 +142,34 @@ def _cost(a: int, b: int, shared: float) -> float:
 
 
 def _align(en: list[tuple[str, str]], zh: list[tuple[str, str]], ratio: float) -> list[tuple[list[str], list[str], float]]:
-    import re
-
-    digits = lambda xs: {d for _, t in xs for d in re.findall(r"\d+", t)}
-    width = lambda xs, r: int(sum(len(t) for _, t in xs) * r)
-    best: dict[tuple[int, int], tuple[float, int, int]] = {(0, 0): (0.0, 0, 0)}
-    for i in range(len(en) + 1):
-        for j in range(len(zh) + 1):
-            if (i, j) not in best:
+    """Cheapest moves from start to end, within ``BAND`` places of the diagonal and the difference of the sides."""
+    n, m = len(en), len(zh)
+    digits = [[set(re.findall(r"\d+", t)) for _, t in xs] for xs in (en, zh)]
+    width = [[len(t) for _, t in xs] for xs in (en, zh)]
+    reach = BAND + abs(n - m)
+    best: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+    best[0][0] = (0.0, 0, 0)
+    moves = ((1, 1, 0.0), (1, 0, 2.5), (0, 1, 2.5), (2, 1, 1.0), (1, 2, 1.0))
+    for i in range(n + 1):
+        row = best[i]
+        middle = i * m // n if n else 0
+        for j in range(max(0, middle - reach), min(m, middle + reach) + 1):
+            if j not in row:
                 continue
-            for di, dj, extra in ((1, 1, 0.0), (1, 0, 2.5), (0, 1, 2.5), (2, 1, 1.0), (1, 2, 1.0)):
-                if i + di > len(en) or j + dj > len(zh):
+            here = row[j][0]
+            for di, dj, extra in moves:
+                if i + di > n or j + dj > m:
                     continue
-                a, b = en[i : i + di], zh[j : j + dj]
-                both = digits(a) | digits(b)
-                shared = len(digits(a) & digits(b)) / len(both) if both and di and dj else 0.0
-                cost = best[i, j][0] + extra + (_cost(width(a, 1.0), width(b, ratio), shared) if di and dj else 0.0)
-                if (i + di, j + dj) not in best or cost < best[i + di, j + dj][0]:
-                    best[i + di, j + dj] = (cost, di, dj)
-    made, i, j = [], len(en), len(zh)
+                cost = here + extra
+                if di and dj:
+                    a, b = set().union(*digits[0][i : i + di]), set().union(*digits[1][j : j + dj])
+                    shared = len(a & b) / len(a | b) if a or b else 0.0
+                    cost += _cost(sum(width[0][i : i + di]), int(sum(width[1][j : j + dj]) * ratio), shared)
+                if j + dj not in best[i + di] or cost < best[i + di][j + dj][0]:
+                    best[i + di][j + dj] = (cost, di, dj)
+    made, i, j = [], n, m
     while i or j:
-        _, di, dj = best[i, j]
+        _, di, dj = best[i][j]
         if di and dj:
             made.append(([s for s, _ in en[i - di : i]], [s for s, _ in zh[j - dj : j]], 0.7))
         i, j = i - di, j - dj
@@ -167,6 +194,73 @@ def align_by_length(sentences: DataFrame, ratio: float = 1.0) -> DataFrame:
     return grouped.mapInPandas(run, "run_id string, sec_id string, ord int, en_ids array<string>, zh_ids array<string>, score double")
 
 
+#: Chinese digits of heading numbers.
+_CJK_DIGITS = {c: n for n, c in enumerate("〇一二三四五六七八九")}
+
+
+def heading_number(text: str) -> tuple[str, int] | None:
+    """(level, number) at the start of a heading: 2., 2.3, (b), IV., 二、, 第三章; null if there is none."""
+    if m := re.match(r"\s*(?:section|article|chapter|part|abschnitt|artikel|sección|capítulo|第)?\s*(\d+)((?:\.\d+)*)(?=[\s.):、章節节條条]|$)", text, re.I):
+        parts = [int(x) for x in (m[1] + m[2]).split(".")]
+        return f"{len(parts)}", sum(x * 1000 ** (len(parts) - 1 - i) for i, x in enumerate(parts))
+    if m := re.match(r"\s*第?([一二三四五六七八九十]{1,3})[、章節节條条]", text):
+        tens, _, ones = m[1].rpartition("十")
+        return "1", (10 * _CJK_DIGITS.get(tens, 1) if "十" in m[1] else 0) + _CJK_DIGITS.get(ones, 0)
+    if m := re.match(r"\s*\(?([a-z])[).]\s", text):
+        return "a", ord(m[1]) - 96
+    if m := re.match(r"\s*([IVX]{1,5})[.、\s]", text):
+        value = [{"I": 1, "V": 5, "X": 10}[c] for c in m[1]]
+        return "1", sum(-v if v < max(value[i:]) else v for i, v in enumerate(value))
+    return None
+
+
+def _match_headings(en: list[str], zh: list[str]) -> list[tuple[int, int, float]]:
+    """(i, j, score) in order: the cheapest alignment by numbers, shared figures and places; what fits nothing stays alone."""
+    n, m = len(en), len(zh)
+    numbers = [[heading_number(t) for t in xs] for xs in (en, zh)]
+    figures = [[set(re.findall(r"\d+|[A-Z]{2,}", t)) for t in xs] for xs in (en, zh)]
+
+    def cost(i: int, j: int) -> float:
+        a, b = numbers[0][i], numbers[1][j]
+        place = abs(i / n - j / m) if n and m else 0.0
+        if a and b:
+            return (0.0 if a == b else 2.5) + 0.2 * place
+        both = figures[0][i] | figures[1][j]
+        return (0.9 if a or b else 0.5) + 0.5 * place - (0.4 * len(figures[0][i] & figures[1][j]) / len(both) if both else 0.0)
+
+    best = [[(0.8 * (i + j), (i > 0) * 1, (i == 0) * (j > 0) * 1) for j in range(m + 1)] for i in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            best[i][j] = min((best[i - 1][j - 1][0] + cost(i - 1, j - 1), 1, 1), (best[i - 1][j][0] + 0.8, 1, 0), (best[i][j - 1][0] + 0.8, 0, 1), key=lambda x: x[0])
+    made, i, j = [], n, m
+    while i or j:
+        _, di, dj = best[i][j]
+        if di and dj:
+            made.append((i - 1, j - 1, 0.9 if numbers[0][i - 1] and numbers[0][i - 1] == numbers[1][j - 1] else 0.7))
+        i, j = i - di, j - dj
+    return made[::-1]
+
+
+def propose_sections(heads: DataFrame) -> DataFrame:
+    """(run_id, ord, i, j, score): headings of the two sides that go together, in document order.
+
+    ``heads(run_id, slot, sec_ord, heading)``, places from 1.  A section that one
+    side lacks shifts none of the others.  The headings of a run are one group.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                side = lambda s, hs=r.hs: [(h["sec_ord"], h["heading"] or "") for h in hs if h["slot"] == s]
+                en, zh = side("en"), side("zh")
+                rows += [(r.run_id, n, en[i][0] - 1, zh[j][0] - 1, s) for n, (i, j, s) in enumerate(_match_headings([t for _, t in en], [t for _, t in zh]))]
+            yield pd.DataFrame(rows, columns=["run_id", "ord", "i", "j", "score"])
+
+    listed = heads.where("sec_ord > 0").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(F.col("sec_ord").cast("int").alias("sec_ord"), "slot", "heading"))).alias("hs"))
+    return listed.mapInPandas(run, "run_id string, ord int, i int, j int, score double")
+
+
 def definitions_text(blocks: DataFrame) -> DataFrame:
     """(run_id, slot, text): the section under the first heading about definitions, else the whole document."""
     spans = section_spans(blocks)
@@ -211,11 +305,16 @@ def slot_of(code: Column, code_en: Column, code_zh: Column) -> Column:
 
 
 def document_meta(blocks: DataFrame) -> DataFrame:
-    """(run_id, slot, title, stock_code): the first heading, else the first block; a code by pattern."""
+    """(run_id, slot, title, stock_code, company): the first heading, else the first block; a code and a company's name by pattern."""
     head = first_text(blocks)
     code = F.regexp_extract(head["text"], r"(?iU)(?:stock\s+code|股份代號)[:：\s]*(\d{4,5})", 1)
+    company = F.regexp_extract(head["text"], COMPANY, 1)
     title = F.coalesce(F.min_by(F.when(F.col("is_heading"), F.col("text")), F.when(F.col("is_heading"), F.col("block_n"))), F.min_by("text", "block_n"))
-    return head.groupBy(*DOC).agg(title.alias("title"), F.max(F.nullif(code, F.lit(""))).alias("stock_code"))
+    return head.groupBy(*DOC).agg(title.alias("title"), F.max(F.nullif(code, F.lit(""))).alias("stock_code"), F.min_by(F.nullif(company, F.lit("")), F.when(company != "", F.col("block_n"))).alias("company"))
+
+
+#: A name that ends in a legal form.
+COMPANY = r"((?:[A-Z][\w&'-]*\s+){1,6}(?:Holdings\s+)?(?:Limited|Ltd\.?|Inc\.?|PLC|plc|Corporation|S\.A\.|SA|AG|GmbH|S\.p\.A\.|N\.V\.)|[一-鿿]{2,20}(?:股份)?有限公司)"
 
 
 def first_text(blocks: DataFrame, pages: int = 2) -> DataFrame:

@@ -64,21 +64,21 @@ def _by_slot(d: DataFrame, *columns: str) -> DataFrame:
 
 
 def match_sections(heads: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
-    """(run_id, sec_id, sec_n, en_ord, zh_ord, en_heading, zh_heading, score): accepted proposals, else sections at the same place.
+    """(run_id, sec_id, sec_n, en_ord, zh_ord, en_heading, zh_heading, score): accepted proposals, else sections whose headings go together.
 
     ``heads(run_id, slot, sec_ord, heading)``; place 0 is the text before the
     first heading, matched only if both sides have it.
     """
-    side = lambda s: heads.where(F.col("slot") == s).select("run_id", F.col("sec_ord").alias(f"{s}_ord"), F.col("heading").alias(f"{s}_heading"))
+    side = lambda s: heads.where(F.col("slot") == s).select("run_id", F.col("sec_ord").cast("int").alias(f"{s}_ord"), F.col("heading").alias(f"{s}_heading"))
     en, zh = side("en"), side("zh")
-    placed = en.join(zh, (en.run_id == zh.run_id) & (en.en_ord == zh.zh_ord)).drop(zh.run_id).withColumn("score", F.when(F.col("en_ord") == 0, 1.0).otherwise(0.7))
+    n = heads.where("sec_ord > 0").groupBy("run_id").agg(F.coalesce(F.max(F.when(F.col("slot") == "en", F.col("sec_ord"))), F.lit(0)).cast("int").alias("n_en"), F.coalesce(F.max(F.when(F.col("slot") == "zh", F.col("sec_ord"))), F.lit(0)).cast("int").alias("n_zh"))
+    found = align.propose_sections(heads)
     if proposed is not None:
-        n = heads.where("sec_ord > 0").groupBy("run_id").agg(F.count_if(F.col("slot") == "en").cast("int").alias("n_en"), F.count_if(F.col("slot") == "zh").cast("int").alias("n_zh"))
-        taken = align.accept_matches(proposed, n).select("run_id", (F.col("i") + 1).alias("en_ord"), (F.col("j") + 1).alias("zh_ord"), "score")
-        named = taken.join(en, ["run_id", "en_ord"]).join(zh, ["run_id", "zh_ord"])
-        rest = placed.join(taken.select("run_id").distinct(), "run_id", "left_anti")
-        preamble = placed.where("en_ord = 0").join(taken.select("run_id").distinct(), "run_id", "left_semi")
-        placed = named.unionByName(preamble).unionByName(rest)
+        found = proposed.select(*found.columns).unionByName(found.join(proposed.select("run_id").distinct(), "run_id", "left_anti"))
+    taken = align.accept_matches(found, n).select("run_id", (F.col("i") + 1).alias("en_ord"), (F.col("j") + 1).alias("zh_ord"), "score")
+    named = taken.join(en, ["run_id", "en_ord"]).join(zh, ["run_id", "zh_ord"])
+    preamble = en.where("en_ord = 0").join(zh.where("zh_ord = 0"), "run_id").withColumn("score", F.lit(1.0))
+    placed = named.unionByName(preamble)
     return placed.select("run_id", F.format_string("sec_%d", "en_ord").alias("sec_id"), F.col("en_ord").alias("sec_n"), "en_ord", "zh_ord", F.coalesce("en_heading", F.lit("")).alias("en_heading"), F.coalesce("zh_heading", F.lit("")).alias("zh_heading"), "score")
 
 
@@ -127,10 +127,10 @@ def audit(
     glossary = align.glossary(_by_slot(defined, "terms"), proposed_terms)
     prevailing = align.prevailing(blocks)
     choice = F.coalesce(authoritative, align.slot_of(F.col("code"), F.col("en_code"), F.col("zh_code"))) if authoritative is not None else align.slot_of(F.col("code"), F.col("en_code"), F.col("zh_code"))
-    titles = _by_slot(align.document_meta(blocks), "title", "stock_code")
+    titles = _by_slot(align.document_meta(blocks), "title", "stock_code", "company")
     pages = _by_slot(lines.groupBy(*DOC).agg(F.max("page").alias("pages")), "pages")
     meta = both.join(prevailing, "run_id", "left").join(titles, "run_id", "left").join(pages, "run_id", "left")
-    meta = meta.select("run_id", "en_title", "zh_title", F.coalesce("en_stock_code", "zh_stock_code").alias("stock_code"), F.coalesce(choice, F.lit("none")).alias("authoritative"), F.col("code").isNotNull().alias("authoritative_detected"), "en_pages", "zh_pages", *(f"{s}_{c}" for s in ("en", "zh") for c in ("code", "name", "script")))
+    meta = meta.select("run_id", "en_title", "zh_title", F.coalesce("en_company", "zh_company").alias("company"), F.coalesce("en_stock_code", "zh_stock_code").alias("stock_code"), F.coalesce(choice, F.lit("none")).alias("authoritative"), F.col("code").isNotNull().alias("authoritative_detected"), "en_pages", "zh_pages", *(f"{s}_{c}" for s in ("en", "zh") for c in ("code", "name", "script")))
 
     runs = meta.select("run_id", "authoritative", short_name(F.col("en_name")).alias("name_a"), short_name(F.col("zh_name")).alias("name_b"), "en_code", "zh_code")
     findings = materialize(classify.classify(materialize(judge.union_findings(*found)), sections, glossary, runs, (F.col("en_code"), F.col("zh_code"))))
