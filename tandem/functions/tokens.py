@@ -67,6 +67,7 @@ def _parts(pattern: str, order: str) -> Callable[[Column], Column]:
     return lambda raw: iso(*(_int(group(raw, pattern, place[c])) for c in "ymd"))
 
 
+#: Dates in digits.
 _SLASH = r"(?U)\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
 _DOTS = r"(?U)\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b"
 _DASHES = r"(?U)\b(\d{1,2})-(\d{1,2})-(\d{4})\b"
@@ -83,6 +84,7 @@ def _settled(parts: list[Column]) -> Column:
 
 
 def dates_en(text: Column) -> Column:
+    # fixed values: how dates with month names are written
     names = _alternation(w.title() for w in lx.MONTHS["en"])
     dmy = rf"(?U)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+({names})\.?,?\s+(\d{{4}})\b"
     mdy = rf"(?U)\b({names})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b"
@@ -92,6 +94,7 @@ def dates_en(text: Column) -> Column:
 
 def dates_locale(text: Column, code: str) -> Column:
     names = _alternation(lx.MONTHS[code])
+    # fixed value
     p = rf"(?iU)\b(\d{{1,2}})(?:er|re|e|º|ª|°|\.)?[{SP}]+(?:de[{SP}]+|d')?({names})\.?[{SP}]+(?:de[{SP}]+)?(\d{{4}})\b"
     named = _dates(text, p, lambda raw: iso(_int(group(raw, p, 3)), _month_number(group(raw, p, 2), code), _int(group(raw, p, 1))))
     return _settled([named, *(_dates(text, x, _parts(x, "dmy")) for x in (_SLASH, _DOTS, _DASHES)), _dates(text, _ISO, _parts(_ISO, "ymd"))])
@@ -130,6 +133,7 @@ def cjk_number(x: Column) -> Column:
 
 
 def dates_zh(text: Column) -> Column:
+    # fixed value
     p = r"(?U)([零〇○一二三四五六七八九]{4}|\d{4})年([一二三四五六七八九十]{1,2}|\d{1,2})月([一二三四五六七八九十]{1,3}|\d{1,2})日"
     number = lambda x: F.when(x.rlike(r"(?U)^\d"), _int(x)).otherwise(cjk_number(x).cast("int"))
     return by_span(_dates(text, p, lambda raw: iso(*(number(group(raw, p, i)) for i in (1, 2, 3)))))
@@ -192,6 +196,7 @@ def _latin_numbers(text: Column, spans: Column, code: str) -> Column:
     english = code == "en"
     space = r"\s" if english else f"[{SP}]"
     symbols = lx.SYMBOLS_EN if english else lx.SYMBOLS_LATIN
+    # fixed values: how amounts are written
     digits = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?" if english else rf"\d{{1,3}}(?:[{SP}'.,]\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
     inner = rf"(?:({symbols}){space}?)?" if english else "()"
     scale = rf"({_alternation(lx.SCALES[code])})" + (r"\b" if english else r"\.?(?![a-zà-öø-ÿ])")
@@ -238,6 +243,7 @@ def _latin_numbers(text: Column, spans: Column, code: str) -> Column:
 
 
 def _zh_numbers(text: Column, spans: Column) -> Column:
+    # fixed values: how amounts are written in Chinese
     percent = r"(?U)百分之([零一二兩三四五六七八九十百點点]+|\d+(?:\.\d+)?)"
     arabic = rf"(?U)({lx.SYMBOLS_ZH})?([(（])?(\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|\d+(?:\.\d+)?)([)）])?({_alternation(w for w in lx.SCALES['zh'] if w != '百')})?(%|％)?(元|港元|美元|人民幣)?"
     words = r"(?<![第])(港幣|港元|人民幣|美元)?([零一二兩两三四五六七八九十百千萬万億亿]{2,}[點点]?[零一二兩两三四五六七八九]*)(元|港元|美元|人民幣)?"

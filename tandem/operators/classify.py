@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tandem.functions import lexicons as lx
 from tandem.functions.language import modal_pattern
 
+#: Fixed value: what counts as a number in an omission.
 NUMBER = r"(?U)\d|[一二兩三四五六七八九十百千]+(?:萬|億|元|股|%|％|個|名|項)|百分之"
 RANK = {"Critical": 0, "Material": 1, "Cosmetic": 2}
 
@@ -65,6 +66,7 @@ def worded(authoritative: Column, name_a: Column, name_b: Column) -> Column:
     no_en, no_zh = F.col("en.span").isNull(), F.col("zh.span").isNull()
     name = F.when((authoritative == "EN") & no_zh & ~no_en, name_b).when((authoritative == "ZH") & no_en & ~no_zh, name_a)
     phrase = F.concat(F.lit("omitted from "), name)
+    # fixed values: wording of an omission
     absent = F.regexp_instr(text, F.concat(F.lit(r"(?iU)\b(?:missing|absent|not present|omitted)\s+(?:entirely\s+)?from\s+(?:the\s+)?"), name)) > 0
     pattern = F.concat(F.lit(r"(?isU)^(.*?)\b(?:missing|absent|not present|omitted)\s+(?:entirely\s+)?from\s+(?:the\s+)?"), name, F.lit(r"(?:\s+(?:version|text|section|side))?(?:\s+entirely)?"))
     swapped = F.regexp_replace(text, pattern, F.concat(F.lit("$1"), phrase))

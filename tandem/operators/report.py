@@ -46,7 +46,7 @@ def render(runs: DataFrame) -> DataFrame:
     name = lambda s, default: F.coalesce(F.substring_index(F.col(f"meta.languages.{s}.name"), " (", 1), F.lit(default))
     rows = runs.select("run_id", F.explode_outer("findings").alias("f"), name("en", "English").alias("a"), name("zh", "Chinese").alias("b"))
     rank = F.when(F.col("f.severity") == "Critical", 0).when(F.col("f.severity") == "Material", 1).otherwise(2)
-    key = F.struct(rank.alias("r"), F.coalesce("f.en.page", F.lit(10**6)).alias("p"), F.col("f.id").alias("id"), card(F.col("a"), F.col("b")).alias("html"))
+    key = F.struct(rank.alias("r"), F.coalesce("f.en.page", F.lit(10**6)).alias("p"), F.regexp_extract("f.id", r"(\d+)$", 1).try_cast("int").alias("n"), F.col("f.id").alias("id"), card(F.col("a"), F.col("b")).alias("html"))
     count = lambda c, v: F.concat(F.lit(f"<td>{v}: "), F.count_if(F.col(f"f.{c}") == v).cast("string"), F.lit("</td>"))
     table = F.concat(F.lit("<table><tr>"), *(count("severity", s) for s in SEVERITIES), F.lit("</tr><tr>"), *(count("status", s) for s in STATUSES), F.lit("</tr></table>"))
     cards = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("f.id").isNotNull(), key))), lambda x: x["html"]), "\n")
@@ -60,5 +60,5 @@ def render_plain(findings: DataFrame) -> DataFrame:
     """(run_id, html): findings as one table with fixed columns."""
     cells = [escape(F.col(c)) for c in ("id", "severity", "type", "section", "explanation", "status")]
     row = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *cells), F.lit("</td></tr>"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", row.alias("row")))), lambda x: x["row"]), "\n")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.regexp_extract("id", r"(\d+)$", 1).try_cast("int").alias("n"), "id", row.alias("row")))), lambda x: x["row"]), "\n")
     return findings.groupBy("run_id").agg(F.concat(F.lit("<table>"), rows, F.lit("</table>")).alias("html"))

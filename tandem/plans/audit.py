@@ -36,6 +36,14 @@ class Audit:
     findings: DataFrame
     counts: DataFrame
 
+    def totals(self) -> DataFrame:
+        """(run_id, sections, pairs, glossary, unpaired, flagged, findings): what progress reports after each stage."""
+        parts = {"sections": self.sections, "pairs": self.pairs, "glossary": self.glossary, "unpaired": self.unaligned_sentences, "flagged": self.findings.where("source = 'llm'"), "findings": self.findings}
+        made = self.meta.select("run_id")
+        for name, rows in parts.items():
+            made = made.join(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name)), "run_id", "left")
+        return made.na.fill(0)
+
     def runs(self) -> DataFrame:
         """Run objects: meta, counts, findings, glossary, unaligned sections."""
         listed = lambda d, name, *cols: d.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))

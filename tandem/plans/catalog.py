@@ -16,14 +16,14 @@ from tandem.functions import language as lg
 from tandem.functions import lexicons as lx
 from tandem.functions import tokens as tk
 from tandem.operators import align, checks, classify, judge, layout, report
+from tandem.plans.audit import audit
+from tandem.sources.sample import amount, bilingual_lines, day
 from tandem.streaming import review
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-NARROW_SPACE = " "
-
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
@@ -41,32 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where a small file would keep few of them busy; larger inputs stay as they are read."""
+    """Rows dealt to all cores where fewer files than cores were read, as a file of one row group keeps one core busy."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 # -- rendering -------------------------------------------------------------------
 
-
-def amount(value: Column, code: str) -> Column:
-    """A value with two decimals as the language writes it."""
-    text = F.format_number(value, 2)
-    if code == "en":
-        return text
-    return F.translate(text, ",.", NARROW_SPACE + "," if code == "fr" else ".,")
-
-
-def day(ts: Column, code: str) -> Column:
-    names: dict[int, str] = {}
-    for word, n in lx.MONTHS[code].items():
-        names.setdefault(n, word)
-    month = F.element_at(F.array(*(F.lit(names[n].title() if code in ("en", "de") else names[n]) for n in range(1, 13))), F.month(ts))
-    d, y = F.dayofmonth(ts).cast("string"), F.year(ts).cast("string")
-    parts = {"en": [d, " ", month, " ", y], "fr": [d, " ", month, " ", y], "de": [d, ". ", month, " ", y], "es": [d, " de ", month, " de ", y]}[code]
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-
-
 PRICE = {"en": ("The total price is US$", " in full."), "fr": ("Le prix total est de USD ", " au total."), "de": ("Der Gesamtpreis beträgt USD ", " insgesamt."), "es": ("El precio total es de USD ", " en total.")}
 DAY = {"en": ("The order was placed on ", " in writing."), "fr": ("La commande a été passée le ", " par écrit."), "de": ("Der Auftrag wurde am ", " schriftlich erteilt."), "es": ("El pedido se hizo el ", " por escrito.")}
 
@@ -217,26 +198,28 @@ def sentence_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.size(lg.sentences(F.col("text"), False)).cast("bigint").alias("n_sentences"))
 
 
-@query("repeated_lines", "SELECT line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) <= 120 GROUP BY line HAVING count(DISTINCT doc_id) >= 3")
+@query("repeated_lines", "SELECT lang, line FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) <= 120 GROUP BY lang, line HAVING count(DISTINCT doc_id) >= 3")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines of three documents or more, as running headers are found."""
-    lines = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.length("line") <= 120)
-    return lines.distinct().groupBy("line").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs >= 3")
+    """Short lines of three documents of a language or more, found as running headers of its pages."""
+    lines = table(spark, sf_dir, "documents", "doc_id", "lang", "text").select(F.col("lang").alias("run_id"), F.lit("en").alias("slot"), F.col("doc_id").alias("page"), F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("text"))
+    return layout.running_headers(lines.withColumn("ls", F.array(F.struct(F.lit(20.0).alias("y0"))))).select(F.col("run_id").alias("lang"), F.col("text").alias("line"))
 
 
-@query("weighted_median", "SELECT lang, median(n_chars) AS median FROM documents, range(0, greatest(1, n_chars // 1000)) GROUP BY lang")
+@query("weighted_median", "SELECT lang, median((n_chars % 97)::DOUBLE) AS median FROM documents, range(0, greatest(1, length(text) // 10)) GROUP BY lang")
 def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median length by language, longer texts weighing more."""
-    weight = F.greatest(F.lit(1), F.floor(F.col("n_chars") / 1000))
-    return table(spark, sf_dir, "documents", "lang", "n_chars").groupBy("lang").agg(F.percentile("n_chars", 0.5, weight).alias("median"))
+    """Median size by language as of a document's body, longer texts weighing more."""
+    blocks = table(spark, sf_dir, "documents", "lang", "n_chars", "text").select(F.col("lang").alias("run_id"), F.lit("en").alias("slot"), "text", F.array(F.struct("text", (F.col("n_chars") % 97).cast("double").alias("size"))).alias("ls"))
+    return layout.body_median(blocks).select(F.col("run_id").alias("lang"), "median")
+
 
+_ESCAPED_SQL = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 
-@query("marked_passages", """SELECT doc_id, replace(replace(text[1:3], '&', '&amp;'), '<', '&lt;') || '<mark>' || replace(replace(text[4:9], '&', '&amp;'), '<', '&lt;') || '</mark>' || replace(replace(text[10:40], '&', '&amp;'), '<', '&lt;') AS html
-FROM documents WHERE length(text) >= 40 AND NOT regexp_matches(text[1:40], '[>"'']')""")
+
+@query("marked_passages", f"""SELECT doc_id, CASE WHEN length(t) >= 9 THEN {_ESCAPED_SQL.format("t[1:3]")} || '<mark>' || {_ESCAPED_SQL.format("t[4:9]")} || '</mark>' || {_ESCAPED_SQL.format("t[10:]")} ELSE {_ESCAPED_SQL.format("t")} END AS html
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def marked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The span [3, 9) of every longer document marked, as in a report."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where((F.length("text") >= 40) & ~F.substring("text", 1, 40).rlike("[>\"']"))
-    return docs.select("doc_id", report.marked(F.substring("text", 1, 40), F.array(F.lit(3), F.lit(9))).alias("html"))
+    """The span [3, 9) of every document marked, as in a report; shorter ones are shown unmarked."""
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", report.marked(F.coalesce("text", F.lit("")), F.array(F.lit(3), F.lit(9))).alias("html"))
 
 
 @query("cache_key", "SELECT doc_id, sha256('model' || chr(31) || coalesce(text, '')) AS key FROM documents")
@@ -472,19 +455,18 @@ def formatted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer", "c_custkey", "c_acctbal").select("c_custkey", checks.trimmed(F.col("c_acctbal")).alias("shown"))
 
 
-@query("quoted_spans", "SELECT doc_id, strpos(text, text[30:45]) - 1 AS s FROM documents WHERE length(text) >= 60 AND NOT regexp_matches(text[30:45], '^\\s|\\s$')")
+@query("quoted_spans", "SELECT doc_id, CASE WHEN text[30:45] <> '' THEN strpos(text, text[30:45]) - 1 END AS s FROM documents")
 def quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of quotations of sixteen characters."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.length("text") >= 60)
-    quoted = docs.withColumn("needle", F.substring("text", 30, 16)).where(~F.col("needle").rlike(r"^\s|\s$"))
+    """Places of quotations of sixteen characters; none where a document is too short to be quoted."""
+    quoted = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("needle", F.substring("text", 30, 16))
     return quoted.select("doc_id", F.get(judge.find_span("text", "needle"), 0).cast("bigint").alias("s"))
 
 
-@query("prevailing_language", "SELECT n_nationkey, list_extract(['en', 'fr', 'de', 'zh'], CAST(n_nationkey % 4 AS INT) + 1) AS code FROM nation")
+@query("prevailing_language", "SELECT n_nationkey, list_extract(['en', 'fr', 'de', 'zh', 'es'], CAST(n_nationkey % 6 AS INT) + 1) AS code FROM nation WHERE n_nationkey % 6 < 5")
 def prevailing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language that each nation's clause names."""
-    clauses = F.array(*map(F.lit, ("The English text shall prevail over the others.", "La version française fait foi.", "Maßgeblich ist der Text; die deutsche Fassung ist verbindlich.", "概以中文版本為準。")))
-    blocks = table(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").cast("string").alias("run_id"), F.lit("en").alias("slot"), F.lit(1).alias("block_n"), F.get(clauses, (F.col("n_nationkey") % 4).cast("int")).alias("text"))
+    """The language that each nation's clause names; one speaks of the laws of a country and names none."""
+    clauses = F.array(*map(F.lit, ("The English text shall prevail over the others.", "La version française fait foi.", "Maßgeblich ist der Text; die deutsche Fassung ist verbindlich.", "概以中文版本為準。", "En caso de duda prevalecerá la versión española.", "It is subject to the laws of the People's Republic of China, which shall govern its interpretation.")))
+    blocks = table(spark, sf_dir, "nation", "n_nationkey").select(F.col("n_nationkey").cast("string").alias("run_id"), F.lit("en").alias("slot"), F.lit(1).alias("block_n"), F.get(clauses, (F.col("n_nationkey") % 6).cast("int")).alias("text"))
     return align.prevailing(blocks).select(F.col("run_id").cast("int").alias("n_nationkey"), "code")
 
 
@@ -509,13 +491,13 @@ def unreadable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "omission_escalation",
-    f"""SELECT doc_id, CASE WHEN regexp_matches(t, '[0-9]') OR regexp_matches(t, '(?i)\\b(?:{"|".join(lx.MODALS["en"])})\\b') OR lower(t) LIKE '%and%' THEN 'Critical' ELSE 'Cosmetic' END AS severity
-FROM (SELECT doc_id, text[1:60] AS t FROM documents WHERE doc_id % 3 = 0)""",
+    f"""SELECT doc_id, CASE WHEN regexp_matches(t, '\\p{{Nd}}') OR regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:{"|".join(lx.MODALS["en"])})($|[^\\p{{L}}\\p{{N}}_])') OR lower(t) LIKE '%and%' THEN 'Critical' ELSE 'Cosmetic' END AS severity
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
 )
 def omission_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of documents as minor omissions: material with a number, a modal word or a glossary term."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("doc_id % 3 = 0")
-    words = F.substring("text", 1, 60)
+    """Whole documents as minor omissions: material with a number, a modal word or a glossary term."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    words = F.coalesce("text", F.lit(""))
     side = lambda t, span: F.struct(F.lit(1).alias("page"), t.alias("text"), span.alias("span"))
     rows = docs.select(
         F.col("doc_id").cast("string").alias("run_id"), F.lit(1).alias("input_ord"), F.lit("OMISSION_MINOR").alias("type"), F.lit("llm").alias("source"), F.lit("Terms").alias("section"), F.lit(None).cast("string").alias("pair_id"), F.lit("en_s1").alias("sentence_id"),
@@ -552,3 +534,25 @@ def layout_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = lines.select("run_id", "slot", (1 + F.floor(F.col("n") / 40)).cast("int").alias("page"), F.col("n").cast("int").alias("block_no"), F.lit(0).alias("line_no"), "text", F.lit(10.0).alias("size"), (F.length("text") < 40).alias("bold"), F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(300.0).alias("x1"), (y + 10).alias("y1"))
     scripts = lines.select("run_id", "slot").distinct().withColumn("script", F.lit("Latn"))
     return layout.layout(placed, scripts)[1].select("run_id", "sid", "block_id", "text")
+
+
+@query(
+    "audit_planted",
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE 0 END AS numbers, CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS dates, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END AS unaligned, 'EN' AS authoritative, 'en' AS en_code, 'fr' AS zh_code, 4 AS sections,
+  'Alpine Trading Limited' AS en_title FROM nation""",
+)
+def audit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit of one pair of documents for each nation: every fifth has another price, every fourth another day, every third a section more."""
+    n = F.col("n_nationkey")
+    at = F.expr("date_add(date'2024-01-01', cast(n_nationkey * 17 as int))")
+    price = (n + 1) * 1234.5
+    runs = table(spark, sf_dir, "nation", "n_nationkey").select(n.cast("string").alias("run_id"), price.alias("amount"), at.alias("day"), F.when(n % 5 == 0, price + 100).otherwise(price).alias("other_amount"), F.when(n % 4 == 0, F.date_add(at, 3)).otherwise(at).alias("other_day"), (n % 3 == 0).alias("extra"))
+    made = audit(bilingual_lines(runs), provider=judge.rule_provider("en", "fr"))
+    count = lambda kind: F.count_if(F.col("type") == kind).alias(kind)
+    found = made.findings.groupBy("run_id").agg(count("NUMBER_MISMATCH"), count("DATE_MISMATCH"))
+    rows = made.meta.join(found, "run_id", "left").join(made.unaligned_sections.groupBy("run_id").agg(F.count(F.lit(1)).alias("u")), "run_id", "left").join(made.sections.groupBy("run_id").agg(F.count(F.lit(1)).alias("sections")), "run_id")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
+    return rows.select(F.col("run_id").cast("int").alias("n_nationkey"), zero("NUMBER_MISMATCH").alias("numbers"), zero("DATE_MISMATCH").alias("dates"), zero("u").alias("unaligned"), "authoritative", "en_code", "zh_code", F.col("sections").cast("int").alias("sections"), "en_title")
+
+
+from tandem.plans import vectors  # noqa: E402, F401  (registers its queries here)

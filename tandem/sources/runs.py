@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tandem.operators.judge import cache_key
+from tandem.sources.scratch import materialize
 
 SIDE = "struct<page:int,text:string,span:array<int>>"
 FINDINGS = f"array<struct<id:string,type:string,severity:string,source:string,section:string,pair_id:string,sentence_id:string,en:{SIDE},zh:{SIDE},explanation:string,confidence:double,status:string,dismiss_reason:string,note:string>>"
@@ -45,7 +48,7 @@ def load_runs(started: DataFrame, finished: DataFrame) -> DataFrame:
     return joined.withColumns({"status": F.coalesce("status", F.lit("running")), "counts": F.coalesce("counts", zero), "findings": F.coalesce("findings", F.array().cast(FINDINGS))})
 
 
-def check_uploads(files: DataFrame, authoritative: str | Column | None = None) -> DataFrame:
+def check_uploads(files: DataFrame) -> DataFrame:
     """Uploads (path, content) with ``error``: an empty file, or one that is no PDF; null where it is fine.
 
     Spark's ``binaryFile`` reader leaves empty files out; list them apart to report them.
@@ -71,6 +74,36 @@ def cached(requests: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame
     return keyed.join(cache, "key"), keyed.join(cache, "key", "left_anti")
 
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded responses (key, response); none where nothing was recorded yet."""
+    try:
+        return spark.read.schema("key string, response string").parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "key string, response string")
+
+
+def answered(requests: DataFrame, path: str, call: Callable[[DataFrame], DataFrame], model: str, required: dict[str, str], attempts: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(answers, failures): requests with a valid response, recorded or new, and those without one after all attempts.
+
+    ``call`` takes requests (key, prompt) and returns (key, response).  Valid
+    responses are appended to the cache at ``path``; invalid ones are asked again
+    and never recorded.
+    """
+    spark = requests.sparkSession
+    found, left = cached(requests, read_cache(spark, path), model)
+    found, left = materialize(found), materialize(left)
+    for _ in range(attempts):
+        if left.isEmpty():
+            break
+        made = materialize(call(left.select("key", "prompt")).select("key", "response").where(valid_response(F.col("response"), required)).dropDuplicates(["key"]))
+        made.write.mode("append").parquet(path)
+        found = found.unionByName(left.join(made, "key"))
+        left = materialize(left.join(made, "key", "left_anti"))
+    return found, left
+
+
 def log_rows(calls: DataFrame) -> DataFrame:
     """Requests and responses, numbered within the run in the order of time."""
     return calls.withColumn("n", F.row_number().over(W.partitionBy("run_id").orderBy("ts", "key")))
@@ -86,6 +119,15 @@ def valid_response(response: Column, required: dict[str, str]) -> Column:
     return test
 
 
+JUDGED = "struct<results:array<struct<pair_id:string,verdict:string,en_span:string,zh_span:string,explanation:string,confidence:double>>>"
+
+
+def parse_judgments(answers: DataFrame) -> DataFrame:
+    """Responses (run_id, tier, response) read into the rows that a recorded provider looks up; malformed ones give none."""
+    read = answers.select("run_id", "tier", F.explode(F.from_json("response", JUDGED, {"mode": "PERMISSIVE"})["results"]).alias("x"))
+    return read.select("run_id", "tier", "x.*").where("pair_id is not null and verdict is not null")
+
+
 def export_json(runs: DataFrame) -> DataFrame:
     """(run_id, json): the run object as one JSON text."""
     return runs.select("run_id", F.to_json(F.struct(*runs.columns)).alias("json"))

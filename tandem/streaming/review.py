@@ -7,9 +7,10 @@ The same expressions serve both kinds of frames.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,8 +50,41 @@ def with_terminal(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def running_counts(events: DataFrame) -> DataFrame:
-    """``finished_of``: how many events of the run's stage there are up to each one (done/total labels)."""
-    return events.withColumn("finished_of", F.count(F.lit(1)).over(W.partitionBy("run_id", "stage").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)))
+    """``finished_of``: how many events of the run's stage there are up to each one, and ``of``: how many in all (done/total labels)."""
+    stage = W.partitionBy("run_id", "stage")
+    upto = stage.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    return events.withColumns({"finished_of": F.count(F.lit(1)).over(upto), "of": F.count(F.lit(1)).over(stage)})
+
+
+def append_progress(events: DataFrame, path: str) -> None:
+    """Add events to the table of a run's progress, which streams and replays read."""
+    events.select("run_id", "seq", "ts", "stage", "label", "done").write.mode("append").parquet(path)
+
+
+def follow(spark: SparkSession, path: str, sink: Callable[[DataFrame], None], checkpoint: str, runs: set[str], seconds: float = 1.0):
+    """(query, ended): hands new events to ``sink`` in order; ``ended`` is set when all ``runs`` have had their terminal event.
+
+    The caller waits for it and stops the query (``until_ended``).
+    """
+    ended, open_runs = threading.Event(), set(runs)
+
+    def each(batch: DataFrame, _: int) -> None:
+        sink(batch.orderBy("run_id", "seq"))
+        over = batch.where((F.col("stage") == "done") & F.col("done")).select("run_id").distinct()
+        open_runs.difference_update(r.run_id for r in over.where(F.col("run_id").isin(*open_runs)).collect())
+        if not open_runs:
+            ended.set()
+
+    events = spark.readStream.schema(PROGRESS).parquet(path)
+    return events.writeStream.foreachBatch(each).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start(), ended
+
+
+def until_ended(query, ended: threading.Event, seconds: float | None = None) -> bool:
+    """Stop the query when its runs have ended or the time is over; whether they have."""
+    try:
+        return ended.wait(seconds)
+    finally:
+        query.stop()
 
 
 def validated(decisions: DataFrame) -> DataFrame:
@@ -83,23 +117,34 @@ def applied(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     return joined.withColumns(values).drop("decision")
 
 
-def review_stream(decisions: DataFrame, findings: DataFrame, sink: Callable[[DataFrame, DataFrame], None], checkpoint: str):
-    """Start a stream that hands each micro-batch's updated findings and counts to ``sink``.
+def review_stream(decisions: DataFrame, findings: DataFrame, sink: Callable[[DataFrame, DataFrame], None], checkpoint: str, log: str, **trigger):
+    """Start a stream that hands the updated findings and counts of each micro-batch's runs to ``sink``.
 
-    Decisions of a batch meet the findings of their runs only.
+    All decisions are kept in the folder ``log``, each batch under its number, so
+    that one that is repeated after a failure replaces itself.  Of all decisions
+    on a finding the latest by time holds, whichever batch brought it.
     """
 
-    def each(batch: DataFrame, _: int) -> None:
-        touched = findings.join(batch.select("run_id").distinct(), "run_id", "left_semi")
-        now = applied(touched, batch)
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{log}/batch={n}")
+        known = spark.read.schema(f"{DECISIONS}, batch bigint").parquet(log).where(F.col("batch") <= n)
+        runs = known.where(F.col("batch") == n).select("run_id").distinct()
+        now = applied(findings.join(runs, "run_id", "left_semi"), known.drop("batch").join(runs, "run_id", "left_semi"))
         sink(now, recount(now))
 
-    return decisions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    stream = decisions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (stream.trigger(**trigger) if trigger else stream).start()
+
+
+def number_of(id_: Column) -> Column:
+    """The number at the end of an id, by which ids sort."""
+    return F.regexp_extract(id_, r"(\d+)$", 1).try_cast("int")
 
 
 def next_unreviewed(findings: DataFrame, current: int) -> DataFrame:
     """The next undecided finding of each run after place ``current`` in review order, from the start if there is none."""
-    n = F.row_number().over(W.partitionBy("run_id").orderBy("id"))
+    n = F.row_number().over(W.partitionBy("run_id").orderBy(number_of(F.col("id")), "id"))
     total = F.count(F.lit(1)).over(W.partitionBy("run_id"))
     placed = findings.withColumns({"place": n, "of": total}).where("status = 'unreviewed'")
     ahead = F.pmod(F.col("place") - current - 1, F.col("of"))

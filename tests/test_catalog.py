@@ -39,9 +39,17 @@ def test_nearest_pairs_against_a_loop(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_layout_query_runs(spark):
-    made = catalog.QUERIES["layout_sentences"](spark, SF)
-    assert made.count() > 1000
+def test_layout_sentences_hold_the_text(spark):
+    """Laid out and joined again, every document has the letters of its lines that are no headings, page numbers or running headers."""
+    made = {}
+    for r in catalog.QUERIES["layout_sentences"](spark, SF).collect():
+        made.setdefault(r.run_id, []).append((int(r.sid.rpartition("s")[2]), r.text))
+    texts = {str(r.doc_id): r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert len(made) > 150
+    for run, rows in made.items():
+        assert [n for n, _ in sorted(rows)] == list(range(1, len(rows) + 1))
+        bare = "".join(texts[run].split())
+        assert all("".join(t.split()) in bare for _, t in rows)
 
 
 def test_entry(spark):

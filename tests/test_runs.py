@@ -250,15 +250,56 @@ def test_decisions(spark):
 
 
 def test_decision_stream(spark, tmp_path):
-    decisions(spark).repartition(1).write.parquet(str(tmp_path / "in"))
-    out = []
-    stream = review.review_stream(spark.readStream.schema(review.DECISIONS).parquet(str(tmp_path / "in")), findings(spark), lambda now, counts: out.append((now.collect(), counts.collect())), str(tmp_path / "check"))
-    for _ in range(120):
-        if out:
-            break
-        time.sleep(0.5)
-    stream.stop()
-    assert out and out[0][1][0].reviewed == 3
+    """Two batches: the second keeps the first one's decisions, and an older decision in it does not win."""
+    folder, out = str(tmp_path / "in"), []
+
+    def run():
+        stream = spark.readStream.schema(review.DECISIONS).parquet(folder)
+        review.review_stream(stream, findings(spark), lambda now, counts: out.append(({r.id: r.status for r in now.collect()}, counts.first().reviewed)), str(tmp_path / "check"), str(tmp_path / "log"), availableNow=True).awaitTermination(120)
+
+    decisions(spark).coalesce(1).write.parquet(folder)
+    run()
+    late = [("r", "f_001", T0, "unresolved", None, None, False, False), ("r", "f_004", T0, "confirmed", None, None, False, False)]
+    spark.createDataFrame(late, review.DECISIONS).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    assert [reviewed for _, reviewed in out] == [3, 4]
+    assert out[1][0] == {"f_001": "confirmed", "f_002": "unresolved", "f_003": "dismissed", "f_004": "confirmed"}
+
+
+def test_follow_until_the_end(spark, tmp_path):
+    path, seen = str(tmp_path / "events"), []
+    event = lambda n, stage, done: spark.createDataFrame([("r", n, T0, stage, "", done)], review.PROGRESS)
+    review.append_progress(event(1, "extract", True), path)
+    query, ended = review.follow(spark, path, lambda b: seen.extend(r.stage for r in b.collect()), str(tmp_path / "check"), {"r"}, seconds=0.2)
+    review.append_progress(event(2, "done", True), path)
+    assert review.until_ended(query, ended, 120) and seen == ["extract", "done"] and not query.isActive
+
+
+def test_answers_are_recorded_and_asked_again(spark, tmp_path):
+    path, asked = str(tmp_path / "cache"), []
+
+    def call(requests):
+        asked.append(sorted(r.prompt for r in requests.collect()))
+        good = F.col("prompt").isin("p1") | (F.lit(len(asked) > 1) & (F.col("prompt") == "p2"))
+        return requests.select("key", F.when(good, '{"a": []}').otherwise("nonsense").alias("response"))
+
+    requests = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "prompt string")
+    found, failed = src.answered(requests, path, call, "m", {"a": "array"})
+    assert sorted(r.prompt for r in found.collect()) == ["p1", "p2"] and [r.prompt for r in failed.collect()] == ["p3"]
+    assert asked == [["p1", "p2", "p3"], ["p2", "p3"]]
+    again, _ = src.answered(requests.where("prompt <> 'p3'"), path, call, "m", {"a": "array"})
+    assert again.count() == 2 and len(asked) == 2
+
+
+def test_files_become_lines(spark, tmp_path):
+    from tandem.sources import documents
+
+    for slot, content in (("en", b"%PDF one\ntwo"), ("zh", b"%PDF three"), ("xx", b"no"), ("yy", b"")):
+        (tmp_path / "run7").mkdir(exist_ok=True)
+        (tmp_path / "run7" / f"{slot}.pdf").write_bytes(content)
+    parse = lambda content: [(1, n, 0, t.decode(), 10.0, False, 0.0, 0.0, 1.0, 1.0) for n, t in enumerate(content[5:].split(b"\n"))]
+    made = documents.lines_of(documents.read_files(spark, str(tmp_path)), parse)
+    assert sorted((r.run_id, r.slot, r.text) for r in made.collect()) == [("run7", "en", "one"), ("run7", "en", "two"), ("run7", "zh", "three")]
 
 
 def test_progress(spark, tmp_path):
