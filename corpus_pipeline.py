@@ -14,7 +14,8 @@ Parquet in the shared scratch folder.
 
 Rows that repeat an id are judged alike where the text is the same; of an id with
 several texts the rows stay if any of them stays.  Null ids are never near
-duplicates.  Empty tables pass through.
+duplicates.  Extra columns pass through whatever they are called, and very long
+texts are treated whole.  Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ from tandem.llm.queries import BPE_RANKS, QUALITY_BAR
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = [F.col(c) for c in docs.columns]
     model = classifier.train(docs, load(spark, sf_dir, "labels"))
-    return classifier.classify(docs, model, score="quality_score").where(F.col("quality_score") >= QUALITY_BAR).select(*columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
+    return classifier.classify(rows, model, text="t").where(F.col("score") >= QUALITY_BAR).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    return lines.line_dedup(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    made = lines.line_dedup(docs.select("doc_id", "text", F.struct(*others).alias("others")))
+    values = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return made.select(*(values.get(c, F.col("others")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,11 +18,12 @@
 5. Verified links make components.  A bucket whose members are all in one
    component is done.  In the others links between members can be missing: the
    members outside the bucket's largest component are compared with all others,
-   in blocks of bounded size, by an upper bound of their similarity from 16 bits
+   in blocks of bounded bytes, by an upper bound of their similarity from 16 bits
    of each shingle.  Pairs whose bound reaches the threshold are verified; of a
    document and a component that it is all but sure to be linked with, the three
-   most similar members first, and all others if these leave them apart.  Buckets beyond ``LARGE`` members are compared in the
-   same way after all others, whose links leave fewer members outside.
+   most similar members first, and all others if these leave them apart.
+   Buckets beyond ``LARGE`` members are compared in the same way after all
+   others, whose links leave fewer members outside.
 
 No bucket is capped and no pair is skipped that could be a link.  Hot buckets
 cost one pair for each member; every count and minimum is combined before it is
@@ -75,8 +76,9 @@ ROWS = 512
 #: Pairs in memory before they are passed on.
 PAIRS = 100_000
 
-#: Rows that one comparison takes: members outside the main component, and members.
+#: What one comparison takes, in units of ``UNIT`` shingles: members outside the main component, and members.
 BLOCK = (256, 2048)
+UNIT = 1024
 
 def shingle_set(text: str, size: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words."""
@@ -269,17 +271,17 @@ class _Links:
         return members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
     def mixed(self, members: DataFrame) -> DataFrame:
-        """(bucket, c, main, r): buckets of three or more members, r of them outside the largest component.
+        """(bucket, c, main, cu, ru): buckets of c members, three or more, with cu units, ru of them outside the largest component.
 
         In a bucket of two the only pair has been tested.
         """
-        seen = self.labelled(members).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        largest = F.max_by("label", F.struct("n", "label")).alias("main")
-        summed = seen.groupBy("bucket").agg(F.sum("n").alias("c"), largest, F.max("n").alias("most"))
-        return materialize(summed.where("c > 2 and most < c").select("bucket", "c", "main", (F.col("c") - F.col("most")).alias("r")))
+        seen = self.labelled(members).groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("u").alias("u"))
+        largest = F.max(F.struct("n", "label", "u")).alias("top")
+        summed = seen.groupBy("bucket").agg(F.sum("n").alias("c"), F.sum("u").alias("cu"), largest).where("c > 2 and top.n < c")
+        return materialize(summed.select("bucket", "c", F.col("top.label").alias("main"), "cu", (F.col("cu") - F.col("top.u")).alias("ru")))
 
     def outside(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
-        """(bucket, node, c, r, label, outer): members of mixed buckets; those outside the main component are outer."""
+        """(bucket, node, cu, ru, label, outer): members of mixed buckets; those outside the main component are outer."""
         return self.labelled(members).join(buckets, "bucket").withColumn("outer", F.col("label") != F.col("main")).drop("main")
 
     def left_apart(self, members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -288,8 +290,8 @@ class _Links:
         named = pairs.where(F.col("more").isNotNull()).join(of_a, "a", "left").join(of_b, "b", "left")
         apart = named.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(F.col("more").alias("node"), F.lit(True).alias("outer")).distinct()
         apart = materialize(apart)
-        buckets = materialize(members.join(apart, "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("r")))
-        sized = materialize(members.join(buckets, "bucket").groupBy("bucket", "r").agg(F.count(F.lit(1)).alias("c")).where("c > 2"))
+        buckets = materialize(members.join(apart, "node").groupBy("bucket").agg(F.sum("u").alias("ru")))
+        sized = materialize(members.join(buckets, "bucket").groupBy("bucket", "ru").agg(F.count(F.lit(1)).alias("c"), F.sum("u").alias("cu")).where("c > 2"))
         return self.labelled(members).join(sized, "bucket").join(apart, "node", "left").withColumn("outer", F.coalesce("outer", F.lit(False)))
 
     def across(self, mine: DataFrame, best: bool) -> DataFrame:
@@ -341,8 +343,8 @@ class _Links:
         fine = materialize(self.fine.join(wanted(mine, "node"), "node", "left_semi"))
         rows = mine.join(fine, "node").where(F.col("prints").isNotNull())
         row = F.struct("node", "label", "prints", "outer")
-        outer = rows.where("outer").select("bucket", block("node", F.col("r"), BLOCK[0]).alias("i"), every(F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(True).alias("outer"))
-        inner = rows.select("bucket", every(F.col("r"), BLOCK[0]).alias("i"), block("node", F.col("c"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(False).alias("outer"))
+        outer = rows.where("outer").select("bucket", block("node", F.col("ru"), BLOCK[0]).alias("i"), every(F.col("cu"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(True).alias("outer"))
+        inner = rows.select("bucket", every(F.col("ru"), BLOCK[0]).alias("i"), block("node", F.col("cu"), BLOCK[1]).alias("j"), "node", "label", "prints", F.lit(False).alias("outer"))
         groups = outer.union(inner).groupBy("bucket", "i", "j").agg(F.collect_list(row).alias("group")).select("group")
         return groups.mapInArrow(run, f"a {kind}, b {kind}, more {kind}").distinct()
 
@@ -367,7 +369,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     bands, rows = band_shape(percent)
     step = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * step + 1, F.lit(step))))
-    banded = nodes.select("node", F.posexplode(keys).alias("band", "bucket"))
+    units = F.ceil(F.col("n") / UNIT).cast("int").alias("u")
+    banded = nodes.select("node", units, F.posexplode(keys).alias("band", "bucket"))
 
     links = _Links(docs, nodes, signed.select(F.col("k").alias("node"), "prints"), key, text, shingle_words, percent)
     links.test(links.stars(banded))

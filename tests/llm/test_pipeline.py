@@ -52,9 +52,12 @@ def test_stages_against_loops(spark, tables):
 
 def test_stages_return_the_columns_of_documents(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
+    clashing = ("quality_score", "score", "n_lines", "n_dropped", "leaks", "row", "t", "kept", "others", "x")
+    wide = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in clashing})
     for _, stage in pipeline.STAGES[:-1]:
-        made = stage(spark, docs, tables)
-        assert made.columns == COLUMNS and made.schema == docs.schema
+        made = stage(spark, wide, tables)
+        assert made.columns == COLUMNS + list(clashing) and made.schema == wide.schema
+        assert made.where(F.col("doc_id").isNotNull()).where(" or ".join(f"{c} <> concat('{c}', doc_id)" for c in clashing)).count() == 0
 
 
 def test_empty_documents(spark, tables):
