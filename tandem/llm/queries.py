@@ -37,8 +37,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the secrets in every text, with the forest's score; values as digests."""
-    found = secret_scan.scan(load(spark, sf_dir, "documents"), path="source")
+    """Places of the secrets in every text, with the forest's score; values as digests.  The tables hold no labelled findings, so these are made."""
+    found = secret_scan.scan(load(spark, sf_dir, "documents"), secret_scan.example_findings(spark), path="source")
     return found.select("doc_id", "start", "end", F.sha2(F.col("value").cast("binary"), 256).alias("secret_sha256"), "score")
 
 

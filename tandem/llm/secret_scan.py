@@ -1,27 +1,41 @@
 """Secret scan: candidates by a pattern, false positives removed by a random forest; native.
 
-A candidate is a run of at least ``LEAST`` of the characters that keys are made
-of, with two digits and a letter.  Most such runs are no secrets: identifiers,
-dates, checksums, paths.  A random forest tells them apart by length, changes
-of character class, coverage by dictionary words, the path around the run and
-of the file, and the words beside it.  It is trained here on labelled findings,
-a table of at most ``FIT_ROWS`` rows that the caller passes; without one,
-``example_findings`` makes one by rule.
+A candidate is one of
+
+- a private key block, from its BEGIN line to its END line,
+- what is assigned to a word for keys (``password = ...``, ``"api_key": "..."``),
+  ``SHORT`` characters or more of any kind but spaces and quotes,
+- a run of at least ``LEAST`` of the characters that keys are made of, with a
+  digit and a letter.
+
+Most of them are no secrets: identifiers, dates, checksums, paths, placeholders.
+A random forest tells them apart by length, changes of character class, coverage
+by dictionary words, the path around the run and of the file, and the words
+beside it.  It is trained here on labelled findings, a table that the caller
+passes, of which at most ``FIT_ROWS`` rows are used, those with the smallest
+hashes; ``example_findings`` makes one by rule for tables that have none.  The
+dictionary is the words of the findings' false positives' world: a short list,
+and the ``CORPUS_WORDS`` words that most documents of the corpus hold.
 
 Scanning, features and the forest (Spark's own, in the JVM) are DataFrame
 operations.  Texts are scanned where they are read, without a shuffle; only
-candidates, a few for each document at most, reach the forest.
-
-Defined results: null and empty texts have no candidates; repeated rows give
-repeated findings; candidates of any length are judged whole; offsets are code
-points, end exclusive; a null path says nothing.  Columns other than the key,
-text and path are not read.
+candidates, a few for each document at most, reach the forest.  Words are
+counted over all documents, combined before they are shuffled.
+
+Defined results: null and empty texts have no candidates, an empty table no
+findings; repeated rows give repeated findings; texts and candidates of any
+length are judged whole; offsets are code points, end exclusive; a null path
+says nothing.  Findings without a label or value are left out of the training;
+where fewer than two classes are left, every candidate's score is the share of
+label 1, or 0.5 without any.  Columns other than the key, text and path are not
+read.
 """
 
 from __future__ import annotations
 
 import random
 import string
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -29,18 +43,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm.common import find_all, lower_ascii, text_of
+from tandem.llm.common import find_all, lower_ascii, materialize, text_of
 
 LEAST = 12
+SHORT = 6
 FIT_ROWS = 20_000
+CORPUS_WORDS = 400
 TREES = 30
 DEPTH = 8
 SEED = 17
 NEIGHBOUR_CHARS = 40
 
-_RUN = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{_RUN}])(?=[A-Za-z+/_-]*+[0-9])[{_RUN}]{{{LEAST},}}+"
-
 #: Word lists of the features.
 DICTIONARY = (
     "access account address admin after before build cache class client code config content count create data date default demo dev "
@@ -52,11 +65,24 @@ DICTIONARY = (
 KEY_WORDS = "token|secret|passwd|password|pwd|api.?key|access.?key|private.?key|credential|bearer|authorization|auth"
 OTHER_WORDS = "commit|sha|md5|checksum|digest|integrity|etag|revision|uuid|guid|version|build|isbn|order|invoice|example|sample|placeholder|dummy|page|section|figure|phone|date"
 
+_RUN = "A-Za-z0-9+/_-"
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{20,}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_ASSIGNED = rf"(?<=[=:][\"' ]{{0,2}})(?<=(?i:{KEY_WORDS})[\"']{{0,1}} {{0,2}}[=:]{{1,2}} {{0,2}}[\"']{{0,1}})[^\s\"'<>,;)=:]{{{SHORT},}}+"
+_PLAIN_RUN = rf"(?<![{_RUN}])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[{_RUN}]{{{LEAST},}}+"
+CANDIDATE = f"{_BLOCK}|{_ASSIGNED}|{_PLAIN_RUN}"
+
 FEATURES = ("length", "transitions", "distinct", "digits", "dictionary", "vowels", "mixed", "hex", "pathlike", "test_path", "key_word", "other_word", "assigned", "quoted")
 
 
-def features(value: Column, before: Column, after: Column, path: Column) -> list[Column]:
-    """One double for each name in ``FEATURES``."""
+def corpus_words(docs: DataFrame, text: str = "text", limit: int = CORPUS_WORDS) -> list[str]:
+    """The words of four to twelve letters that most documents hold, at most ``limit``."""
+    own = F.array_distinct(F.regexp_extract_all(lower_ascii(text_of(text)), F.lit("(?<![a-z])[a-z]{4,12}(?![a-z])"), F.lit(0)))
+    counted = docs.select(F.explode(own).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return [r.w for r in counted.where("n > 1").orderBy(F.desc("n"), "w").limit(limit).collect()]
+
+
+def features(value: Column, before: Column, after: Column, path: Column, words: tuple[str, ...] = ()) -> list[Column]:
+    """One double for each name in ``FEATURES``; ``words`` belong to the dictionary besides the fixed ones."""
     size = F.length(value).cast("double")
     classes = F.translate(F.translate(F.translate(value, string.digits, "0" * 10), string.ascii_uppercase, "A" * 26), string.ascii_lowercase, "a" * 26)
     low, near = lower_ascii(value), lower_ascii(before)
@@ -67,7 +93,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
         "transitions": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / (size - 1),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.least(size, F.lit(64.0)),
         "digits": F.length(F.regexp_replace(value, "[^0-9]", "")) / size,
-        "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))), "")) / size,
+        "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted({*DICTIONARY, *words}, key=lambda w: (-len(w), w))), "")) / size,
         "vowels": F.length(F.regexp_replace(low, "[^aeiou]", "")) / F.greatest(letters, F.lit(1)),
         "mixed": yes(value.rlike("[A-Z]") & value.rlike("[a-z]")),
         "hex": yes(low.rlike("^[0-9a-f]+$")),
@@ -95,7 +121,14 @@ def example_findings(spark: SparkSession, rows: int = 4000, seed: int = SEED) ->
     plain = ["", "the ", "see ", "and then ", "uses "]
 
     def secret() -> tuple[str, str]:
-        kind = rng.randrange(5)
+        kind = rng.randrange(8)
+        if kind == 5:  # passwords: words with digits and signs
+            base = rng.choice([word().title() + rng.choice("!@#$%&*") + str(rng.randrange(10, 9999)), of(string.ascii_letters + string.digits + "!@#$%&*._-", rng.randrange(8, 20))])
+            return base, rng.choice(["password = ", 'password: "', "passwd=", 'pwd = "', "PASSWORD=", "secret: "])
+        if kind == 6:
+            return f"eyJ{of(base64, 33)}", rng.choice(plain + beside)
+        if kind == 7:
+            return rng.choice(["xoxb-", "npm_", "AIza", "dop_v1_", "SG.", "pk_live_", "hf_"]) + of(string.ascii_letters + string.digits, rng.choice([24, 32, 40])), rng.choice(plain + beside)
         if kind == 0:
             return "AKIA" + of(upper, 16), rng.choice(plain + beside)
         if kind == 1:
@@ -106,7 +139,16 @@ def example_findings(spark: SparkSession, rows: int = 4000, seed: int = SEED) ->
         return (value.upper() if rng.random() < 0.15 else value), rng.choice(beside)
 
     def other() -> tuple[str, str]:
-        kind = rng.randrange(9)
+        kind = rng.randrange(12)
+        if kind == 9:  # what stands for a secret, or names one
+            return rng.choice(["${PASSWORD}", "os.environ", "$DB_PASSWORD", "process.env", "********", "<password>", "changeme", "required", "string", "getpass()", "None", "undefined", "your-password", "xxxxxxxx"]), rng.choice(beside)
+        if kind == 10:
+            short = lambda *xs: rng.choice(xs)
+            parts = [rng.choice([word().title(), short("By", "Id", "Of", "To", "All", "On", "Map")]) for _ in range(rng.randrange(2, 5))]
+            return short("get", "set", "is", "on", "add", word()) + "".join(parts) + str(rng.randrange(0, 99)), rng.choice([*plain, "import ", "class ", "call "])
+        if kind == 11:
+            joined = rng.choice(["-", "_", "/"]).join([word(), of(string.ascii_lowercase, rng.randrange(3, 6)), word(), f"v{rng.randrange(1, 20)}"])
+            return rng.choice([joined, f"{word()}{rng.randrange(1, 9)}/{word()}/{word()}-{rng.randrange(1, 99)}"]), rng.choice(plain)
         near = rng.choice(plain)  # without a word for keys
         if kind == 0:
             return f"{word()}{word().title()}{word().title()}{rng.randrange(10, 999)}", near
@@ -135,18 +177,37 @@ def example_findings(spark: SparkSession, rows: int = 4000, seed: int = SEED) ->
     return spark.createDataFrame(made, "value string, before string, after string, path string, label double")
 
 
-
-def _assembled(rows: DataFrame) -> DataFrame:
-    named = rows.select("*", F.array(*features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))).alias("f"))
+def _assembled(rows: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    named = rows.select("*", F.array(*features(F.col("value"), F.col("before"), F.col("after"), F.col("path"), words)).alias("f"))
     split = named.select("*", *(F.col("f")[i].alias(f"f_{n}") for i, n in enumerate(FEATURES)))
     return VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="features").transform(split)
 
 
-def train(findings: DataFrame, fit_rows: int = FIT_ROWS) -> RandomForestClassificationModel:
+@dataclass(frozen=True)
+class Forest:
+    """The trained forest with its dictionary; without one every score is ``share``."""
+
+    model: RandomForestClassificationModel | None
+    words: tuple[str, ...]
+    share: float
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (value, before, after, path) with ``score``."""
+        if self.model is None:
+            return rows.withColumn("score", F.lit(self.share))
+        return self.model.transform(_assembled(rows, self.words)).withColumn("score", F.round(F.get(vector_to_array("probability"), 1), 6))
+
+
+def train(findings: DataFrame, words: list[str] | tuple[str, ...] = (), fit_rows: int = FIT_ROWS) -> Forest:
     """Forest on labelled findings (value, before, after, path, label), at most ``fit_rows`` of them."""
     known = findings.where(F.col("label").isNotNull() & F.col("value").isNotNull()).select("value", *(F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after", "path")), F.col("label").cast("double").alias("label"))
+    taken = materialize(known.orderBy(F.xxhash64(*known.columns), *known.columns).limit(fit_rows))
+    n, good = taken.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    if good in (0, n):
+        return Forest(None, tuple(words), good / n if n else 0.5)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt")
-    return forest.fit(_assembled(known.limit(fit_rows)).select("features", "label").coalesce(1))
+    in_order = _assembled(taken, tuple(words)).coalesce(1).sortWithinPartitions(F.xxhash64("value", "before", "after", "path", "label"), "value", "before")
+    return Forest(forest.fit(in_order.select("features", "label")), tuple(words), good / n)
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -154,15 +215,17 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     source = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     rows = docs.select(F.col(key).alias("k"), text_of(text).alias("t"), source.alias("path"))
     runs = rows.where(F.col("t").rlike(CANDIDATE))
-    likely = F.filter(find_all(F.col("t"), CANDIDATE), lambda m: m["value"].rlike("[0-9][^0-9]*[0-9]") & m["value"].rlike("[A-Za-z]"))
     low = F.greatest(F.lit(0), F.col("m.start") - NEIGHBOUR_CHARS)
-    found = runs.select("k", "t", "path", F.explode(likely).alias("m"))
+    found = runs.select("k", "t", "path", F.explode(find_all(F.col("t"), CANDIDATE)).alias("m"))
     return found.select(F.col("k").alias(key), "m.start", "m.end", "m.value", F.substring("t", low + 1, F.col("m.start") - low).alias("before"), F.substring("t", F.col("m.end") + 1, F.lit(10)).alias("after"), "path")
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel | None = None, key: str = "doc_id", text: str = "text", path: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """(key, start, end, value, score) of the candidates that the forest holds for secrets."""
-    model = model or train(example_findings(docs.sparkSession))
-    judged = model.transform(_assembled(candidates(docs, key, text, path)))
-    score = F.get(vector_to_array("probability"), 1)
-    return judged.select(key, "start", "end", "value", F.round(score, 6).alias("score")).where(F.col("score") > threshold)
+def scan(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """(key, start, end, value, score) of the candidates that a forest trained on the labelled findings holds for secrets."""
+    forest = train(findings, corpus_words(docs, text))
+    return found(docs, forest, key, text, path, threshold)
+
+
+def found(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str | None = None, threshold: float = 0.5) -> DataFrame:
+    """The same by a forest that is there."""
+    return forest.scored(candidates(docs, key, text, path)).where(F.col("score") > threshold).select(key, "start", "end", "value", "score")
