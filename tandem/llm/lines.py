@@ -15,7 +15,8 @@ hashes is written out; it meets the occurrences in a plain join, which Spark
 broadcasts only below its size threshold and whose hot keys it splits
 otherwise.  Texts move once, to meet the positions to drop.
 
-Defined results: a null or empty text is one empty line.  Rows that repeat a
+Defined results: a null or empty text is one empty line; very long texts are
+split whole; an empty table stays empty.  Rows that repeat a
 document id count once and are all treated alike; rows with one id and
 different texts count as one document too.  A null id is a document of its own
 that never counts as the largest.  Extra columns pass through; ``n_lines``,

@@ -31,7 +31,7 @@ shuffled; full sets are built only for documents in a surviving pair.
 
 Defined results: null and empty texts, and those of white space, have no
 shingles and link with nothing; with fewer words than a shingle has, the whole
-sequence is one.  Rows with a null id keep their size and get no component.
+sequence is one; very long texts are hashed whole; an empty table stays empty.  Rows with a null id keep their size and get no component.
 Repeated rows have the same component; rows that repeat an id with another text
 are judged each by their own text.  Extra columns pass through
 (``near_duplicates`` returns the result columns alone).
