@@ -14,8 +14,9 @@ task: a global one would move a row for every (document, pre-token), several
 times the size of the input, to save a few microseconds each.  Counts of pieces
 seen before are remembered per worker, up to ``MEMO`` entries.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; each repeated
-row has its own result; only the key and text columns are read.
+Defined results: null and empty texts have 0 bytes and 0 tokens; very long texts
+are counted whole; each repeated row has its own result; an empty table stays
+empty; only the key and text columns are read.
 """
 
 from __future__ import annotations
@@ -85,9 +86,12 @@ def count_batch(processor, seen: dict[str, int], texts: list[str]) -> np.ndarray
                     seen.clear()
                 seen[piece] = n
         counts[i] = n
-    totals = np.concatenate([[0], np.cumsum(counts[codes])])
-    ends = np.cumsum(sizes)
-    return totals[ends] - totals[ends - sizes]
+    # frequencies of (document, pre-token), joined to the counts by code and summed by document
+    own = np.sort(np.repeat(np.arange(len(split)), sizes) * max(1, len(index)) + codes)
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    times = np.diff(first, append=len(own))
+    document, code = np.divmod(own[first], max(1, len(index)))
+    return np.bincount(document, counts[code] * times, len(split)).astype(np.int64)
 
 
 def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", rows: int = 512) -> DataFrame:
