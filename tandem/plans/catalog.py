@@ -141,9 +141,19 @@ def bag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.select("l_orderkey", left.alias("m")).select("l_orderkey", F.size("m.a").cast("bigint").alias("n_left"), F.size("m.b").cast("bigint").alias("n_right"))
 
 
-@query("nearest_pairs", None)
+@query(
+    "nearest_pairs",
+    """WITH RECURSIVE steps AS (
+  SELECT l_orderkey, -1 AS pos, coalesce(list(l_quantity ORDER BY l_linenumber, l_quantity) FILTER (WHERE l_linenumber % 2 = 1), []) AS xs, coalesce(list(l_quantity ORDER BY l_linenumber, l_quantity) FILTER (WHERE l_linenumber % 2 = 0), []) AS ys,
+         NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM lineitem GROUP BY l_orderkey
+  UNION ALL
+  SELECT l_orderkey, pos + 1, xs[2:], ys[1:near - 1] || ys[near + 1:], xs[1], ys[near]
+  FROM (SELECT *, CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN 1 ELSE list_position(list_transform(ys, lambda y: abs(y - xs[1])), list_min(list_transform(ys, lambda y: abs(y - xs[1])))) END AS near FROM steps WHERE len(xs) + len(ys) > 0)
+)
+SELECT l_orderkey, pos, a, b FROM steps WHERE pos >= 0""",
+)
 def nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities of an order, odd lines against even ones: nearest first come, first served (tested against a loop)."""
+    """Quantities of an order, odd lines against even ones: nearest first come, first served."""
     rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     bags = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("xs"))
     side = lambda odd: F.transform(F.filter("xs", lambda x: (x["l_linenumber"] % 2 == 1) == odd), lambda x: x["l_quantity"])
@@ -517,9 +527,18 @@ def progress_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.stage_state(events).select(F.col("run_id").cast("bigint").alias("user_id"), "reached", "finished")
 
 
-@query("accepted_matches", None)
+@query(
+    "accepted_matches",
+    """WITH RECURSIVE steps AS (
+  SELECT user_id, 0 AS n, list(event_id ORDER BY event_id) AS es, []::BIGINT[] AS ls, []::BIGINT[] AS rs FROM events GROUP BY user_id
+  UNION ALL
+  SELECT user_id, n + 1, es, CASE WHEN free THEN list_append(ls, i) ELSE ls END, CASE WHEN free THEN list_append(rs, j) ELSE rs END
+  FROM (SELECT *, i < 20 AND j < 20 AND NOT list_contains(ls, i) AND NOT list_contains(rs, j) AS free FROM (SELECT *, es[n + 1] % 23 AS i, es[n + 1] % 19 AS j FROM steps WHERE n < len(es)))
+)
+SELECT user_id::VARCHAR AS run_id, unnest(ls)::INT AS i, unnest(rs)::INT AS j FROM steps WHERE n = len(es)""",
+)
 def accepted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user as proposed matches, each accepted if both its places are free (tested against a loop)."""
+    """Events of a user as proposed matches, each accepted if both its places are free."""
     events = table(spark, sf_dir, "events", "event_id", "user_id").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("ord"), (F.col("event_id") % 23).cast("int").alias("i"), (F.col("event_id") % 19).cast("int").alias("j"), F.lit(0.7).alias("score"))
     sides = events.select("run_id", F.lit(20).alias("n_en"), F.lit(20).alias("n_zh")).distinct()
     return align.accept_matches(events, sides).select("run_id", "i", "j")
