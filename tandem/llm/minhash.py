@@ -45,7 +45,6 @@ from functools import lru_cache
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +69,9 @@ MARGIN = 0.03
 #: ... in sets of up to so many shingles; larger ones have all their pairs verified.
 SURE = 2048
 
-#: Texts whose sets are in memory at once.
+#: Texts whose sets are in memory at once, and bytes of sets that are passed on together.
 ROWS = 512
+SET_BYTES = 16 << 20
 
 #: Pairs in memory before they are passed on.
 PAIRS = 100_000
@@ -90,7 +90,7 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def _probes(k: int) -> np.ndarray:
-    return np.random.default_rng(k).integers(0, k, (64 * k, k))
+    return np.random.default_rng(k).integers(0, k, (64 * k, k)).astype(np.int16 if k < 1 << 15 else np.int64)
 
 
 def registers(shingles: np.ndarray, k: int = REGISTERS) -> np.ndarray:
@@ -176,8 +176,22 @@ def band_shape(percent: int, k: int = REGISTERS) -> tuple[int, int]:
     return k // rows, rows
 
 
-def _matrix(column: Iterable[bytes], k: int = REGISTERS) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u2").reshape(-1, k)
+def _matrix(column: pa.Array, k: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, k)
+
+
+def _sets(nodes: Iterable[pa.Scalar], texts: Iterable[pa.Scalar], size: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Nodes and their shingle sets, about ``SET_BYTES`` at a time."""
+    own, made, held = [], [], 0
+    for node, text in zip(nodes, texts, strict=True):
+        own.append(node.as_py())
+        made.append(shingle_set(text.as_py(), size).tobytes())
+        held += len(made[-1])
+        if held >= SET_BYTES or len(own) == ROWS:
+            yield own, made
+            own, made, held = [], [], 0
+    if own:
+        yield own, made
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -216,41 +230,43 @@ class _Links:
         kind = self.nodes.schema["node"].dataType.simpleString()
         percent = self.percent
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                if len(x):
-                    n, m = x["n"].to_numpy(), x["m"].to_numpy()
-                    yield x.loc[plausible(estimated_jaccard(_matrix(x["r"]), _matrix(x["q"]), n, m), n, m, percent), ["a", "b"]]
+                if x.num_rows:
+                    n, m = x.column("n").to_numpy(), x.column("m").to_numpy()
+                    near = plausible(estimated_jaccard(_matrix(x.column("r")), _matrix(x.column("q")), n, m), n, m, percent)
+                    yield x.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
         of_a = self.nodes.select(F.col("node").alias("a"), "n", F.col("regs").alias("r"))
         of_b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("regs").alias("q"))
         sized = pairs.join(of_a, "a").join(of_b, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent)
-        return sized.select("a", "b", "n", "m", "r", "q").mapInPandas(run, f"a {kind}, b {kind}")
+        return sized.select("a", "b", "n", "m", "r", "q").mapInArrow(run, f"a {kind}, b {kind}")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold on their full shingle sets."""
         kind = self.nodes.schema["node"].dataType.simpleString()
         size, percent = self.size, self.percent
+        node_type = to_arrow_type(self.nodes.schema["node"].dataType)
 
-        def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                batch["s"] = [shingle_set(t, size).tobytes() for t in batch.pop("t")]
-                yield batch
+                for own, made in _sets(batch.column("node"), batch.column("t"), size):
+                    yield pa.RecordBatch.from_arrays([pa.array(own, node_type), pa.array(made, pa.binary())], names=["node", "s"])
 
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 found = []
-                for s, q in zip(x["s"], x["q"], strict=True):
-                    one, two = np.frombuffer(s, np.uint64), np.frombuffer(q, np.uint64)
+                for s, q in zip(x.column("s"), x.column("q"), strict=True):
+                    one, two = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
                     both = len(np.intersect1d(one, two, assume_unique=True))
                     found.append(100 * both >= percent * (len(one) + len(two) - both))
-                yield x.loc[np.array(found, bool), ["a", "b"]]
+                yield x.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
         asked = wanted(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
         texts = self.docs.select(F.col(self.key).alias("node"), text_of(self.text).alias("t")).join(asked, "node", "left_semi")
-        sets = materialize(texts.mapInPandas(build, f"node {kind}, s binary"))
+        sets = materialize(texts.mapInArrow(build, f"node {kind}, s binary"))
         joined = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("q")), "b")
-        return joined.select("a", "b", "s", "q").mapInPandas(compare, f"a {kind}, b {kind}").distinct()
+        return joined.select("a", "b", "s", "q").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
     def test(self, pairs: DataFrame, estimate: bool = True) -> None:
         """Verify new pairs, by their estimate first, and bring the components up to date."""
